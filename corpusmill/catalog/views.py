@@ -82,7 +82,8 @@ def _python(d) -> str:
     body = d.sub(body, "^([G-M][a-z]*)(.*)$", '    def _<1>(self):\n        x = ["<2>"]\n\n        y = {"<2>"}   # last')
     body = d.sub(body, "^([^ ].*)$", "        # note\n        z = 1  # <1>\n        # end   ")
     imports = d.join_groups("sentences", "^T([a-z]+)", "import t")
-    return f"concat({imports}, 'class Doc', doc_id, ':', chr(10), {body}, chr(10), 'def run():', chr(10), '    pass', chr(10))"
+    chosen = d.join_groups("sentences", "^O([a-z]+)", "from pkg.mod import base as b, o")
+    return f"concat({imports}, {chosen}, 'class Doc', doc_id, ':', chr(10), {body}, chr(10), 'def run():', chr(10), '    pass', chr(10))"
 
 
 def _script(d, quote: str) -> str:

@@ -160,7 +160,7 @@ def drop_by_rules(
     drop_regex, keep_regex = F.col("drop_regex"), F.col("keep_regex")
 
     def hit(subject: Column) -> Column:
-        return subject.rlike(drop_regex) & ~((keep_regex != "") & subject.rlike(keep_regex))
+        return F.rlike(subject, drop_regex) & ~((keep_regex != "") & F.rlike(subject, keep_regex))
 
     if scope == "last2":
         segments = F.split(F.concat_ws("/", "repo", "path"), "/")
