@@ -16,14 +16,14 @@ from corpusmill.functions.joins import attach
 MIN_CHARS = 50  # a section counts if it is longer than this
 
 # A run of delimiter lines: blank, or starting with # // /* *
-_DELIMITER_RUN = r"(?mdU)(?:^[^\S\n]*+(?:(?:#|//|/\*|\*)[^\n]*+)?(?:\n|\z))++"
+_DELIMITER_RUN = rf"(?md)(?:^[{text.GAP}]*+(?:(?:#|//|/\*|\*)[^\n]*+)?(?:\n|\z))++"
 
 
 def sections(content: Column) -> Column:
     """Array of the sections longer than the minimum, in file order."""
     pieces = F.transform(
         F.split(text.plain_lines(content), _DELIMITER_RUN, -1),
-        lambda piece: F.regexp_replace(piece, r"\n\z", ""),
+        text.chop_line_end,
     )
     return F.filter(pieces, lambda piece: F.length(piece) > MIN_CHARS)
 
@@ -42,7 +42,7 @@ def chunks(files: DataFrame) -> DataFrame:
         lambda s: F.struct(
             F.md5(s.cast("binary")).alias("h"),
             F.length(s).cast("bigint").alias("n_chars"),
-            (F.regexp_count(s, F.lit("\n")) + 1).cast("bigint").alias("n_lines"),
+            (text.occurrences(s, "\n") + 1).alias("n_lines"),
         ),
     )
     return files.select("repo", "path", "ord", F.posexplode(digests).alias("chunk_ord", "c")).select(
@@ -58,7 +58,7 @@ def chunk_lines_by_window(files: DataFrame) -> DataFrame:
     line = F.col("line")
     lines = files.select(
         "repo", "path", "ord", F.posexplode(text.split_lines(F.col("content"))).alias("ln", "line")
-    ).withColumn("is_delim", line.rlike(r"(?U)^\s*(?:#|//|/\*|\*|\z)"))
+    ).withColumn("is_delim", line.rlike(rf"^[{text.SPACE}]*+(?:#|//|/\*|\*|\z)"))
     island = F.sum(F.col("is_delim").cast("int")).over(Window.partitionBy("repo", "path").orderBy("ln"))
     return (
         lines.withColumn("island", island)
@@ -175,7 +175,7 @@ def replace_duplicates(reduced: Column, original: Column, edits: Column) -> Colu
                 F.lit("# DUPLICATE CODE: Same as in "),
                 e["first_path"],
                 F.lit("\n# "),
-                (F.regexp_count(e["chunk"], F.lit("\n")) + 1).cast("string"),
+                (text.occurrences(e["chunk"], "\n") + 1).cast("string"),
                 F.lit(" lines\n"),
             ),
         ),

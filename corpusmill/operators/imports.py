@@ -12,8 +12,8 @@ _PY_FROM = r"(?md)^from[ \t]+[.\w]+[ \t]+import[ \t]*(?:\(([^)]*)\)|([^\n#;(]+))
 _PY_FROM_NAMES = r"(?d)^from[ \t]+[.\w]+[ \t]+import[ \t]*\(?"
 _PY_LINES = r"(?md)(?:^import[^\n]*$|^from[^\n]*import[^\n]*$)[\n\r]*+"
 
-_JS_IMPORT = r"(?mdU)^import[^\n]*?;?\s*$"
-_JS_IMPORT_EXPORT = r"(?mdU)^(?:import|export)[^\n]*?;?\s*$"
+_JS_IMPORT = rf"(?md)^import[^\n]*?;?[{text.SPACE}]*$"
+_JS_IMPORT_EXPORT = rf"(?md)^(?:import|export)[^\n]*?;?[{text.SPACE}]*$"
 
 
 def _names(listing: Column, drop: str) -> Column:
@@ -70,8 +70,8 @@ def javascript_modules(content: Column, compat: bool = False) -> Column:
     quoted = text.let(
         F.array_join(javascript_statements(content, compat), "\n"),
         lambda joined: F.array_union(
-            text.find_all(joined, r"""(?dU)from\s+['"]([^\n]+?)['"]""", 1),
-            text.find_all(joined, r"""(?dU)import\s+[^{]*?['"]([^\n]+?)['"]""", 1),
+            text.find_all(joined, rf"""from[{text.SPACE}]+['"]([^\n]+?)['"]""", 1),
+            text.find_all(joined, rf"""import[{text.SPACE}]+[^{{]*?['"]([^\n]+?)['"]""", 1),
         ),
     )
     return F.array_sort(F.array_distinct(F.transform(quoted, lambda m: F.substring_index(m, "/", -1))))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.settings import Level
 
-_COMMENT_LINE = r"^[^\S\n]*+#[^\n]*+(?:\n|\z)"
-_COMMENT_RUN = rf"(?mdU)(?:{_COMMENT_LINE}){{4,}}+"
+_COMMENT_LINE = rf"^[{text.GAP}]*+#[^\n]*+(?:\n|\z)"
+_COMMENT_RUN = rf"(?md)(?:{_COMMENT_LINE}){{4,}}+"
 
 
 def collapse_comment_runs(content: Column, level: Level) -> Column:
@@ -20,9 +20,9 @@ def collapse_comment_runs(content: Column, level: Level) -> Column:
     """
 
     def shorten(run: Column) -> Column:
-        body = F.regexp_replace(run, r"\n\z", "")
+        body = text.chop_line_end(run)
         tail = F.when(F.endswith(run, F.lit("\n")), "\n").otherwise("")
-        size = F.regexp_count(body, F.lit("\n")) + 1
+        size = text.occurrences(body, "\n") + 1
         first = F.substring_index(body, "\n", 1)
         last = F.substring_index(body, "\n", -1)
 
@@ -61,7 +61,8 @@ def truncate_middle(content: Column, max_lines: int) -> Column:
 
 
 # A heading and the lines up to the next one.
-_SECTION = r"(?mdU)^#{1,6}\s[^\n]*+(?:\n(?!#{1,6}\s)[^\n]*+)*+"
+_HEADING = rf"#{{1,6}}[{text.GAP}]"
+_SECTION = rf"(?md)^{_HEADING}[^\n]*+(?:\n(?!{_HEADING})[^\n]*+)*+"
 AFTER_HEADING = 3
 
 

@@ -34,9 +34,9 @@ _VENDOR = r"(?:-webkit-|-moz-|-ms-|-o-)"
 RULES = {
     rule.name: rule
     for rule in (
-        Rule("blank_runs", r"(?U)\n(?:[^\S\n]*+\n){2,}+", "\n\n"),
-        Rule("trailing_blanks", r"(?md)(?<![ \t])[ \t]++$", ""),
-        Rule("inner_spaces", r"(?U)(?<=\S)[ \t]{2,}+(?=\S)", " ", heavy=True),
+        Rule("blank_runs", rf"\n(?:[{text.GAP}]*+\n){{2,}}+", "\n\n"),
+        Rule("trailing_blanks", r"(?md)(?=[ \t])(?<![ \t])[ \t]++$", ""),
+        Rule("inner_spaces", rf"(?=[ \t]{{2}})(?<=[^{text.SPACE}])[ \t]++(?=[^{text.SPACE}])", " ", heavy=True),
         Rule("long_list", r"\[[^\]]{50,}+\]", "[...]  # List with elements", ("python",)),
         Rule("long_dict", r"\{[^}]{50,}+\}", "{...}  # Dict with key-values", ("python",)),
         # Never fires after long_list, which takes every bracket of this length.
@@ -50,7 +50,7 @@ RULES = {
             heavy=True,
         ),
         Rule("html_comment", r"(?s)<!--.*?-->", "", ("html",)),
-        Rule("html_gap", r"(?U)>\s++<", ">\n<", ("html",)),
+        Rule("html_gap", rf">[{text.SPACE}]++<", ">\n<", ("html",)),
         Rule("css_comment", r"(?s)/\*.*?\*/", "", ("css",)),
     )
 }
@@ -190,7 +190,8 @@ def trim_items(content: Column, tag: str, what: str) -> Column:
     no recursion; the match is the same.
     """
     item = _item(tag)
-    run = rf"({item})(\s*{item})(?:\s*{item}){{3}}(?:\s*{item})*+"
+    gap = rf"[{text.SPACE}]*"
+    run = rf"({item})({gap}{item})(?:{gap}{item}){{3}}(?:{gap}{item})*+"
 
     def trim(page: Column) -> Column:
         n_items = text.count_of(page, item)
@@ -214,7 +215,7 @@ def css(content: Column, level: Level) -> Column:
     def drop_vendor(sheet: Column) -> Column:
         dropped = F.concat(
             F.lit("/* Note: Vendor prefixes consolidated */\n"),
-            F.regexp_replace(sheet, rf"(?mdU)^\s*+{_VENDOR}[^\n]*?;\s*$", ""),
+            F.regexp_replace(sheet, rf"(?md)^[{text.SPACE}]*+{_VENDOR}[^\n]*?;[{text.SPACE}]*$", ""),
         )
         return F.when(text.count_of(sheet, rf"{_VENDOR}[^\n]*?;") > 5, dropped).otherwise(sheet)
 

@@ -19,7 +19,6 @@ from corpusmill.settings import Level
 _FOLD = "\ufdd0"
 _TRIPLE_QUOTED = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
 
-_NEWLINE = f"[\n{_FOLD}]"
 _QUIET = r"(?:[ \t]*+(?:#[^\n]*+)?\n)*+"  # blank and comment lines
 
 
@@ -48,7 +47,8 @@ def unfold_strings(content: Column) -> Column:
 
 def _count_lines(block: Column) -> Column:
     """Lines of a block that may end in a line end."""
-    return F.regexp_count(F.regexp_replace(block, r"\n\z", ""), F.lit(_NEWLINE)) + 1
+    ends = text.occurrences(block, "\n") + text.occurrences(block, _FOLD)
+    return ends + F.when(F.endswith(block, F.lit("\n")), 0).otherwise(1)
 
 
 def _leading(block: Column) -> Column:
@@ -65,7 +65,7 @@ def _symbols_of_folded(folded: Column) -> Column:
         F.transform(
             F.split(folded, "\n", -1),
             lambda line, i: F.when(
-                line.rlike(_HEAD_LINE), F.struct(i.alias("i"), F.regexp_count(line, F.lit(_FOLD)).alias("extra"))
+                line.rlike(_HEAD_LINE), i
             ),
         ),
         lambda head: head.isNotNull(),
@@ -75,7 +75,7 @@ def _symbols_of_folded(folded: Column) -> Column:
         kind = F.regexp_extract(block, r"^[ \t]*(def|class)", 1)
         own = F.when(kind == "def", 1).otherwise(0)
         return F.struct(
-            head["i"].cast("bigint").alias("line_no"),
+            head.cast("bigint").alias("line_no"),
             F.length(_leading(block)).cast("bigint").alias("indent"),
             kind.alias("kind"),
             F.regexp_extract(block, r"^[ \t]*(?:def|class)[ \t]+(\w+)", 1).alias("name"),
@@ -107,7 +107,7 @@ def outline_classes(content: Column, level: Level) -> Column:
     """
 
     def outline(block: Column) -> Column:
-        body = F.regexp_replace(block, r"\n\z", "")
+        body = text.chop_line_end(block)
         tail = F.when(F.endswith(block, F.lit("\n")), "\n").otherwise("")
         n_lines = _count_lines(block)
         heads = F.transform(
@@ -150,7 +150,7 @@ def stub_private_functions(content: Column) -> Column:
 
 
 def _source(block: Column) -> Column:
-    return F.regexp_replace(block, r"^[ \t]+|\n\z", "")
+    return F.ltrim(text.chop_line_end(block), F.lit(" \t"))
 
 
 def _def_name(block: Column) -> Column:
