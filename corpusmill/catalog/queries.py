@@ -219,7 +219,7 @@ QUERIES: dict[str, Query] = {
     "script_reduce": _over(
         "code",
         lambda f: f.where(paths.language(F.col("path")).isin("javascript", "typescript")).select(
-            "repo", "path", rules.script(F.col("content"), HEAVY).alias("content")
+            "repo", "path", rules.script(rules.generic(F.col("content"), HEAVY), HEAVY).alias("content")
         ),
     ),
     "generic_reduce": _text_job("python", lambda c: rules.generic(c, MEDIUM)),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 # Line ends of a universal line split, and those other than ``\n``.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _ODD_LINE_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_LINE_END_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _ENDS_OPEN = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]\z"
 
 # White space of Unicode text for use within [ ]; GAP is the same within a line.
@@ -35,10 +34,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def occurrences(text: Column, part: str) -> Column:
     """How often a fixed string occurs, without a regex."""
-    return (
-        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit(""))))
-        / F.lit(len(part.encode()))
-    ).cast("bigint")
+    return F.floor(
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())
+    )
 
 
 def split_lines(text: Column) -> Column:
@@ -50,14 +48,14 @@ def split_lines(text: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    """Number of lines, counted without building them."""
-    ends = occurrences(text, "\n")
-    odd = sum((occurrences(text, sign) for sign in _LINE_END_CHARS[1:]), F.lit(0)) - occurrences(text, "\r\n")
-    return (
-        ends
-        + F.when(text.rlike(_ODD_LINE_END), odd).otherwise(0)
-        + F.when(F.substr(text, F.lit(-1)).rlike(_ENDS_OPEN), 1).otherwise(0)
-    ).cast("bigint")
+    """Number of lines, counted without building them.
+
+    The regex is needed only where there are line ends other than ``\n``.
+    """
+    ends = F.when(F.rlike(text, F.lit(_ODD_LINE_END)), F.regexp_count(text, F.lit(LINE_END))).otherwise(
+        F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    )
+    return (ends + F.regexp_count(F.right(text, F.lit(1)), F.lit(_ENDS_OPEN))).cast("bigint")
 
 
 def chop_line_end(text: Column) -> Column:

@@ -67,12 +67,16 @@ def javascript_statements(content: Column, compat: bool = False) -> Column:
 
 def javascript_modules(content: Column, compat: bool = False) -> Column:
     """Distinct sorted module names, the last part of each quoted path."""
-    quoted = text.let(
-        F.array_join(javascript_statements(content, compat), "\n"),
-        lambda joined: F.array_union(
-            text.find_all(joined, rf"""from[{text.SPACE}]+['"]([^\n]+?)['"]""", 1),
-            text.find_all(joined, rf"""import[{text.SPACE}]+[^{{]*?['"]([^\n]+?)['"]""", 1),
-        ),
+    # Statement by statement: over the joined text an unquoted import would look
+    # for a quote up to the end, once per statement.
+    quoted = F.flatten(
+        F.transform(
+            javascript_statements(content, compat),
+            lambda s: F.concat(
+                text.find_all(s, rf"""from[{text.SPACE}]+['"]([^\n]+?)['"]""", 1),
+                text.find_all(s, rf"""import[{text.SPACE}]+[^{{]*?['"]([^\n]+?)['"]""", 1),
+            ),
+        )
     )
     return F.array_sort(F.array_distinct(F.transform(quoted, lambda m: F.substring_index(m, "/", -1))))
 

@@ -110,7 +110,8 @@ def generic(content: Column, level: Level) -> Column:
 
 
 def python(content: Column, level: Level) -> Column:
-    out = imports.summarise_python(generic(content, level), level.import_threshold)
+    """On text that went through :func:`generic`."""
+    out = imports.summarise_python(content, level.import_threshold)
     out = symbols.shorten_symbols(out, level)
     for name in ("long_list", "long_dict", "long_comprehension"):
         out = apply_rule(out, name)
@@ -118,7 +119,8 @@ def python(content: Column, level: Level) -> Column:
 
 
 def script(content: Column, level: Level, compat: bool = False) -> Column:
-    out = imports.summarise_javascript(generic(content, level), level.import_threshold, compat)
+    """JavaScript and TypeScript, on text that went through :func:`generic`."""
+    out = imports.summarise_javascript(content, level.import_threshold, compat)
     out = apply_rule(out, "object_literal")
     return apply_rule(out, "jsx_element") if level.heavy else out
 
@@ -237,32 +239,35 @@ def css(content: Column, level: Level) -> Column:
     return out
 
 
-def markdown(content: Column, level: Level) -> Column:
-    if not level.heavy:
-        return generic(content, level)
-    return text.let(content, lambda t: lines.heading_sections(t, generic(t, level)))
+# Languages whose reduction does not go through the generic chain.
+_NOT_GENERIC = ("json", "html", "css")
 
 
 def by_language(content: Column, language: Column, level: Level) -> Column:
     """The reduction for a file's language, else the generic one."""
+
+    def dispatch(t: Column, tidy: Column) -> Column:
+        chosen = (
+            F.when(language == "python", python(tidy, level))
+            .when(language.isin(*_SCRIPT), script(tidy, level))
+            .when(language == "json", json_sample(t, level))
+            .when(language == "html", html(t, level))
+            .when(language == "css", css(t, level))
+        )
+        if level.heavy:
+            chosen = chosen.when(language == "markdown", lines.heading_sections(t, tidy))
+        return chosen.otherwise(tidy)
+
     return text.let(
         content,
-        lambda t: F.when(language == "python", python(t, level))
-        .when(language.isin(*_SCRIPT), script(t, level))
-        .when(language == "json", json_sample(t, level))
-        .when(language == "html", html(t, level))
-        .when(language == "css", css(t, level))
-        .when(language == "markdown", markdown(t, level))
-        .otherwise(generic(t, level)),
+        lambda t: text.let(
+            F.when(language.isin(*_NOT_GENERIC), t).otherwise(generic(t, level)), lambda tidy: dispatch(t, tidy)
+        ),
     )
 
 
 # --- measures ---------------------------------------------------------------
 
-# Languages whose reduction does not go through the generic chain.
-_NOT_GENERIC = ("json", "html", "css")
-
-
 def rule_effects(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """What each regex rule does to each language, on the text as it is:
     hits, files touched and characters saved.

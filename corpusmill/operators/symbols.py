@@ -146,7 +146,12 @@ def stub_private_functions(content: Column) -> Column:
     ``content`` is folded text.  Of helpers with equal names the deepest, then
     the latest, is meant, along with any that has the very same text.
     """
-    return text.let(content, lambda t: text.let(_ranked_private(t), lambda ranked: _stub_chosen(t, ranked)))
+
+    def stub_in(t: Column) -> Column:
+        chosen = text.let(_ranked_private(t), _chosen_sources)
+        return text.let(chosen, lambda sources: _stub_chosen(t, sources))
+
+    return text.let(content, stub_in)
 
 
 def _source(block: Column) -> Column:
@@ -172,14 +177,17 @@ def _ranked_private(content: Column) -> Column:
     )
 
 
-def _stub_chosen(content: Column, ranked: Column) -> Column:
-    # In this order the last of a name is the one before another name.
+def _chosen_sources(ranked: Column) -> Column:
+    """Sorted this way, the last of a name is the one before another name."""
     chosen = F.zip_with(
         ranked,
         F.slice(ranked, F.lit(2), F.size(ranked)),
         lambda one, after: F.when(~one["name"].eqNullSafe(after["name"]), one["source"]),
     )
+    return F.filter(chosen, lambda source: source.isNotNull())
+
 
+def _stub_chosen(content: Column, chosen: Column) -> Column:
     def stub(block: Column) -> Column:
         short = F.concat(
             _leading(block),
