@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill import settings
 from corpusmill.operators import filters
+from corpusmill.session import settle
 
 ROOT_TYPE = T.StructType(
     [
@@ -45,6 +48,68 @@ def _below_root(uri: Column, root: str) -> Column:
     return F.substr(plain, position + len(bare) + 1)
 
 
+def _hidden_files(spark: SparkSession, root: str, ignored_dirs: set[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """``(path, content)`` of the files that Spark's own listing leaves out.
+
+    Spark takes names that start with ``.`` or ``_`` for its own bookkeeping; in a
+    source tree they are files like ``__init__.py``.  The entries of the root are
+    dealt to tasks, which walk below them, skip ignored directories, and read the
+    wanted files; nothing but the names at the root passes through the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(root)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = [(e.getPath().getName(), e.isDirectory()) for e in system.listStatus(location)]
+    slices = max(1, min(len(top), spark.sparkContext.defaultParallelism * 4))
+
+    def open_root():
+        from pyarrow import fs
+
+        if "://" in root:
+            return fs.FileSystem.from_uri(root)
+        return fs.LocalFileSystem(), root.removeprefix("file:")
+
+    def left_out(name: str) -> bool:
+        # Fixed rule of Spark's file listing.
+        if name.startswith(("_metadata", "_common_metadata")):
+            return False
+        return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+    def walk(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        files, base = open_root()
+        for batch in batches:
+            stack = list(zip(batch["path"], batch["is_dir"]))
+            found = []
+            while stack:
+                path, is_dir = stack.pop()
+                if not is_dir:
+                    if any(left_out(part) for part in path.split("/")):
+                        found.append(path)
+                elif path.rsplit("/", 1)[-1] not in ignored_dirs:
+                    for info in files.get_file_info(fs.FileSelector(f"{base}/{path}")):
+                        stack.append((f"{path}/{info.base_name}", info.type == fs.FileType.Directory))
+                if len(found) >= 1000:
+                    yield pd.DataFrame({"path": found})
+                    found = []
+            yield pd.DataFrame({"path": found}, dtype=object)
+
+    def read(batches):
+        import pandas as pd
+
+        files, base = open_root()
+        for batch in batches:
+            for path in batch["path"]:
+                with files.open_input_stream(f"{base}/{path}") as stream:
+                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+
+    entries = spark.createDataFrame(top, "path string, is_dir boolean").repartition(slices, "path")
+    listed = entries.mapInPandas(walk, "path string").where(wanted(F.col("path")))
+    return listed.repartition(slices, "path").mapInPandas(read, "path string, content binary")
+
+
 def scan_tree(
     spark: SparkSession,
     root: str,
@@ -53,27 +118,36 @@ def scan_tree(
     keep_readme: bool = True,
     normalise_newlines: bool = True,
 ) -> DataFrame:
-    """Read a tree recursively: ``(repo, path, ord, content)``.
+    """Read a tree recursively: ``(repo, path, ord, content)``, ordered by path.
 
     The ignore lists are tested on the file's metadata, so ignored files are
     listed but not opened.  README files and ``.gitignore`` at the root come along
     for the jobs that need them (``keep_readme``); :func:`filters.keep_wanted`
-    drops them again.  ``ord`` follows the order of paths within partitions and is
-    unique.
+    drops them again.  The result is settled: each small file is opened once, and
+    ``ord`` stays the same in every job that reads it.
     """
-    name = repo or root.rstrip("/").rsplit("/", 1)[-1]
+    root = root.rstrip("/")
+    name = repo or root.rsplit("/", 1)[-1]
+    skip = skip or []
+
+    def wanted(path: Column) -> Column:
+        keep = ~filters.built_in_ignored(path) & ~filters.is_skipped(path, skip)
+        return keep | path.isin(*settings.README_NAMES, ".gitignore") if keep_readme else keep
+
     path = _below_root(F.col("_metadata.file_path"), root)
-    wanted = ~filters.built_in_ignored(path) & ~filters.is_skipped(path, skip or [])
-    if keep_readme:
-        wanted = wanted | path.isin(*settings.README_NAMES, ".gitignore")
-    return (
+    visible = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .where(wanted)
-        .select(
+        .where(wanted(path))
+        .select(path.alias("path"), "content")
+    )
+    hidden = _hidden_files(spark, root, {*settings.IGNORED_DIRS, *skip}, wanted)
+    ordered = visible.unionByName(hidden).repartitionByRange("path").sortWithinPartitions("path")
+    return settle(
+        ordered.select(
             F.lit(name).alias("repo"),
-            path.alias("path"),
+            "path",
             F.monotonically_increasing_id().alias("ord"),
             decode_local(F.col("content"), normalise_newlines).alias("content"),
         )
