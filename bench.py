@@ -55,9 +55,6 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
-        # The test tables are single small files; let every core have a part.
-        .config("spark.sql.files.maxPartitionBytes", "2m")
-        .config("spark.sql.files.openCostInBytes", "0")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

@@ -99,14 +99,15 @@ def summarise_javascript(content: Column, threshold: int, compat: bool = False)
 
 def import_summary(files: DataFrame, threshold: int) -> DataFrame:
     """Imported modules of Python files with more than ``threshold`` imports."""
-    modules = python_modules(text.plain_lines(F.col("content")))
-    return (
-        files.select("repo", "path", modules.alias("modules"))
-        .where(F.size("modules") > threshold)
-        .select(
-            "repo",
-            "path",
-            F.size("modules").cast("bigint").alias("n_imports"),
-            F.array_join(F.array_sort(F.array_distinct("modules")), ", ").alias("modules"),
+
+    def listed(modules: Column) -> Column:
+        row = F.struct(
+            F.size(modules).cast("bigint").alias("n_imports"),
+            F.array_join(F.array_sort(F.array_distinct(modules)), ", ").alias("modules"),
         )
-    )
+        return F.when(F.size(modules) > threshold, F.array(row))
+
+    # Exploding an array that is NULL below the threshold works the modules out
+    # once; a filter on them would be pushed down and do it again.
+    found = text.let(python_modules(text.plain_lines(F.col("content"))), listed)
+    return files.select("repo", "path", F.explode(found).alias("m")).select("repo", "path", "m.*")
