@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill import settings
 from corpusmill.catalog import views
 from corpusmill.functions import paths, text
+from corpusmill.functions.joins import meet
 from corpusmill.operators import (
     duplicates,
     filters,
@@ -111,7 +112,7 @@ def _dispatch(files: DataFrame) -> DataFrame:
 def _duplicate_replace(files: DataFrame) -> DataFrame:
     edits = duplicates.replacements(files, HEAVY.duplicate_threshold)
     content = F.col("content")
-    return files.join(edits, ["repo", "path"], "left").select(
+    return meet(files, edits, ["repo", "path"], "left").select(
         "repo", "path", duplicates.replace_duplicates(content, content, F.col("edits")).alias("content")
     )
 
@@ -229,7 +230,8 @@ QUERIES: dict[str, Query] = {
     # whole jobs
     "file_stats": _over("seeded", analysis.file_stats),
     "corpus_report": _over("code", lambda f: report.corpus_report(f, CUSTOM_SKIP, _rules(f))[0]),
-    "corpus_reduce": _over("code", lambda f: reduction.reduce_corpus(f, MEDIUM)),
+    "corpus_reduce": _over("seeded", lambda f: reduction.reduce_corpus(f, MEDIUM)),
+    "corpus_reduce_code": _over("code", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_heavy": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY)),
     "report_reduce": _over("thread", _report_reduce),
 }

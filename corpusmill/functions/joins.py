@@ -1,11 +1,42 @@
-"""Join helper for keys that may hold a large share of all rows."""
+"""Joins for large corpora: no hot task, no needless shuffle of text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import settle
+
 SALTS = 32
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a frame's values, counted by a job."""
+    row = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()
+    return row.n or 0
+
+
+def meet(
+    texts: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    how: str,
+    spread: list[str] | None = None,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Join a derived lookup to rows that carry text.
+
+    The lookup is settled and its size counted.  Within ``limit`` it is broadcast
+    and the text stays where it was read.  Beyond that both sides are shuffled,
+    dealt over salts by the ``spread`` columns where the keys may be hot.
+    """
+    lookup = settle(lookup)
+    if measured_bytes(lookup) <= limit:
+        return texts.join(F.broadcast(lookup), keys, how)
+    if spread:
+        return attach(texts, lookup, keys, spread, how)
+    return texts.join(lookup, keys, how)
 
 
 def attach(

@@ -1,7 +1,7 @@
 """Path filters: built-in ignore lists, skip lists and ignore patterns.
 
 Every test looks at the path only.  The built-in lists are row-local predicates;
-ignore patterns are one alternation per repository, attached by an equi-join.
+ignore patterns are one alternation per repository, joined on the repository.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import settings
 from corpusmill.functions import paths, text
-from corpusmill.functions.joins import attach
+from corpusmill.functions.joins import meet
 
 
 def in_ignored_dir(path: Column) -> Column:
@@ -70,7 +70,7 @@ def drop_skipped(files: DataFrame, skip: DataFrame) -> DataFrame:
         .select("repo", "path")
         .distinct()
     )
-    return files.join(hits, ["repo", "path"], "left_anti")
+    return meet(files, hits, ["repo", "path"], "left_anti")
 
 
 # --- ignore patterns --------------------------------------------------------
@@ -156,7 +156,7 @@ def drop_by_rules(
     tests each directory and the file itself by its last two path components
     only, the repository name standing above the root.
     """
-    ruled = attach(files, rule_alternations(rules, compat), ["repo"], ["path"])
+    ruled = meet(files, rule_alternations(rules, compat), ["repo"], "left", spread=["path"])
     drop_regex, keep_regex = F.col("drop_regex"), F.col("keep_regex")
 
     def hit(subject: Column) -> Column:

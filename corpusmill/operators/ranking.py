@@ -48,8 +48,14 @@ def skipped(stats: DataFrame) -> DataFrame:
     return stats.join(retained(stats).select("repo", "path"), ["repo", "path"], "left_anti")
 
 
-def skipped_counts(stats: DataFrame) -> DataFrame:
-    return skipped(stats).groupBy("repo").agg(F.count(F.lit(1)).alias("n_skipped"))
+def skipped_counts(files: DataFrame) -> DataFrame:
+    """How many files heavy reduction drops, which follows from the number of files."""
+    return (
+        files.groupBy("repo")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > settings.KEEP_WHOLE_UP_TO)
+        .select("repo", (F.col("n") - settings.KEEP_FILES).alias("n_skipped"))
+    )
 
 
 def skipped_summary(stats: DataFrame) -> DataFrame:
@@ -60,15 +66,14 @@ def skipped_summary(stats: DataFrame) -> DataFrame:
     """
     dropped = skipped(stats)
     head = (
-        dropped.groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("n"))
+        skipped_counts(stats)
         .select(
             "repo",
             F.posexplode(
                 F.array(
                     F.concat(
                         F.lit("# Skipped "),
-                        F.col("n").cast("string"),
+                        F.col("n_skipped").cast("string"),
                         F.lit(" less important files in heavy compression mode"),
                     ),
                     F.lit(""),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import settings
+from corpusmill.functions.joins import meet
 from corpusmill.operators import duplicates, ranking, reduce
 from corpusmill.plans.analysis import file_stats
 from corpusmill.settings import Level
@@ -15,17 +16,18 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     """``(repo, path, ord, content)`` after reduction.
 
     Repeated sections are found in the original text and replaced in the reduced
-    text.  Only digests and slim statistics are shuffled before the text is; the
-    text meets them in one join on ``(repo, path)``, a key without repeats.
+    text.  Only digests and slim statistics are shuffled; what they say about each
+    file is settled and meets the text in one join on ``(repo, path)``, a key
+    without repeats.
     """
     path, importance = F.col("path"), F.col("importance")
     edits = duplicates.replacements(files, level.duplicate_threshold)
     if level.heavy:
         stats = file_stats(files) if stats is None else stats
         chosen = ranking.retained(stats).select("repo", "path", "importance")
-        todo = files.join(chosen.join(edits, ["repo", "path"], "left"), ["repo", "path"])
+        todo = meet(files, chosen.join(edits, ["repo", "path"], "left"), ["repo", "path"], "inner")
     else:
-        todo = files.join(edits, ["repo", "path"], "left").withColumn("importance", F.lit(None).cast("bigint"))
+        todo = meet(files, edits, ["repo", "path"], "left").withColumn("importance", F.lit(None).cast("bigint"))
     reduced = todo.withColumn("reduced", reduce.reduce_content(path, importance, F.col("content"), level)).select(
         "repo",
         "path",
@@ -35,7 +37,7 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     if not level.heavy:
         return reduced
     note_path = F.lit(settings.SKIPPED_SUMMARY_PATH)
-    notes = ranking.skipped_counts(stats).select(
+    notes = ranking.skipped_counts(files).select(
         "repo",
         note_path.alias("path"),
         F.lit(2**63 - 1).cast("bigint").alias("ord"),  # behind all files
