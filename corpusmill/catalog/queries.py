@@ -117,10 +117,9 @@ def _duplicate_replace(files: DataFrame) -> DataFrame:
     )
 
 
-def _ratio(files: DataFrame) -> DataFrame:
-    """Bytes left when long files lose their middle."""
-    shorter = files.withColumn("content", lines.truncate_middle(F.col("content"), 20))
-    return reduction.reduction_ratio(files, shorter)
+def _shorter(files: DataFrame) -> DataFrame:
+    """Long files lose their middle."""
+    return files.withColumn("content", lines.truncate_middle(F.col("content"), 20))
 
 
 def _reports(files: DataFrame) -> DataFrame:
@@ -193,7 +192,8 @@ QUERIES: dict[str, Query] = {
     "duplicate_sections": _over("seeded", duplicates.duplicate_sections),
     "duplicate_totals": _over("seeded", duplicates.duplicate_totals),
     "import_summary": _over("python", lambda f: imports.import_summary(f, MIN_IMPORTS)),
-    "reduction_ratio": _over("seeded", _ratio),
+    "reduction_ratio": _over("seeded", lambda f: reduction.reduction_ratio(f, _shorter(f))),
+    "file_reduction": _over("seeded", lambda f: reduction.file_reduction(f, _shorter(f))),
     "repo_summary": _over("seeded", lambda f: analysis.repo_summary(f, analysis.file_stats(f), HEAVY)),
     "report_assembly": _over("code", lambda f: report.corpus_report(f)[0]),
     # joins

@@ -57,3 +57,13 @@ def reduction_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
         .agg(F.sum("before").alias("bytes_before"), F.sum("after").alias("bytes_after"))
         .withColumn("percent", F.try_divide(F.col("bytes_after").cast("double"), F.col("bytes_before")) * 100)
     )
+
+
+def file_reduction(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Characters of each file before and after, and what is left in percent.  A
+    file that was dropped has no size after; an empty one has no percentage."""
+    size = F.length("content").cast("bigint")
+    sizes = before.select("repo", "path", size.alias("chars_before")).join(
+        after.select("repo", "path", size.alias("chars_after")), ["repo", "path"], "left"
+    )
+    return sizes.withColumn("percent", F.try_divide(F.col("chars_after").cast("double"), F.col("chars_before")) * 100)

@@ -214,3 +214,23 @@ def test_one_hot_key_everywhere(corpus):
     assert duplicates.duplicate_sections(files).first().n_occ == 400
     reduced = reduction.reduce_corpus(files, HEAVY)
     assert reduced.count() == 16
+
+
+def test_meet_gives_the_same_beyond_its_limit(corpus):
+    from corpusmill.functions.joins import meet
+
+    files = corpus(*[("hot" if i % 3 else "b", f"{i}.txt", str(i)) for i in range(50)])
+    lookup = files.where("ord % 2 = 0").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("left", "inner"):
+        rows = [
+            sorted(map(tuple, meet(files, lookup, ["repo"], how, spread, limit).collect()))
+            for limit in (10**6, 0) for spread in (None, ["path"])
+        ]
+        assert rows[0] and all(r == rows[0] for r in rows)
+
+
+def test_file_reduction(corpus):
+    before = corpus(("r", "a", "xxxx"), ("r", "b", ""), ("r", "c", "x"))
+    after = corpus(("r", "a", "x"), ("r", "b", ""))
+    rows = reduction.file_reduction(before, after).orderBy("path").collect()
+    assert [(r.chars_before, r.chars_after, r.percent) for r in rows] == [(4, 1, 25.0), (0, 0, None), (1, None, None)]
