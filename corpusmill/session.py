@@ -32,8 +32,11 @@ def settle(df: DataFrame) -> DataFrame:
     Uses the cluster's ``spark.checkpoint.dir``; a folder of our own is made only
     where none is set, which is the case in local tests.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
     return df.checkpoint(eager=True)

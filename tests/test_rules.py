@@ -192,6 +192,21 @@ def test_css(apply):
 N = 200_000
 
 
+@pytest.fixture(scope="module")
+def every_rule(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import duplicates
+
+    t = F.col("t")
+    languages = ("python", "javascript", "json", "html", "css", "markdown", "other")
+    return [
+        *[F.length(rules.by_language(t, F.lit(language), HEAVY)) for language in languages],
+        F.size(duplicates.sections(t)),
+        text.line_count(t),
+    ]
+
+
 @pytest.mark.parametrize(
     "doc",
     ["# c\n" * N, "\n" * N, "a  b \n" * N, "import x\n" * N, "{\n" + "k: 1,\n" * N + "}", '"""' + "d\n" * N + '"""',
@@ -199,14 +214,7 @@ N = 200_000
      "[" + "1,\n" * N + "]", "a{" + "b:c;" * N + "}", '{"a": "' + "\\n" * N + '"}'],
     ids=["comments", "blanks", "gaps", "imports", "object", "docstring", "class", "items", "headings", "css", "list", "css rule", "json"],
 )
-def test_long_texts_are_safe(spark, doc):
+def test_long_texts_are_safe(spark, every_rule, doc):
     """Two hundred thousand lines through every rule: no recursion, no blow-up."""
-    from pyspark.sql import functions as F
-
-    from corpusmill.operators import duplicates
-
-    frame = spark.createDataFrame([(doc,)], "t string")
-    handled = [F.length(rules.by_language(F.col("t"), F.lit(lang), HEAVY)) for lang in
-               ("python", "javascript", "json", "html", "css", "markdown", "other")]
-    row = frame.select(*handled, F.size(duplicates.sections(F.col("t"))), text.line_count(F.col("t"))).first()
+    row = spark.createDataFrame([(doc,)], "t string").select(*every_rule).first()
     assert row[-1] == len(doc.splitlines())
