@@ -142,11 +142,6 @@ def _reports(files: DataFrame) -> DataFrame:
     )
 
 
-def _report_reduce(files: DataFrame) -> DataFrame:
-    sections = report_text.report_sections(_reports(files))
-    return reduction.reduce_corpus(report_text.report_blocks(sections), MEDIUM)
-
-
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "readme_pick": _over("code", _readme_of),
@@ -233,5 +228,5 @@ QUERIES: dict[str, Query] = {
     "corpus_reduce": _over("seeded", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_code": _over("code", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_heavy": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY)),
-    "report_reduce": _over("thread", _report_reduce),
+    "report_reduce": _over("thread", lambda f: reduction.reduce_reports(_reports(f), MEDIUM)),
 }

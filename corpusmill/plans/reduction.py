@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusmill import settings
 from corpusmill.functions.joins import meet
 from corpusmill.operators import duplicates, ranking, reduce
-from corpusmill.plans.analysis import file_stats
+from corpusmill.plans.analysis import file_stats, repo_summary
+from corpusmill.plans.report import rewritten_report_rows
 from corpusmill.settings import Level
+from corpusmill.sources import report_text
 
 
 def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None) -> DataFrame:
@@ -46,6 +48,16 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     return reduced.unionByName(notes)
 
 
+def reduce_reports(reports: DataFrame, level: Level) -> DataFrame:
+    """Finished reports ``(repo, text)`` to the rows of their reduced form."""
+    sections = report_text.report_sections(reports)
+    files = report_text.report_blocks(sections)
+    stats = file_stats(files)
+    return rewritten_report_rows(
+        sections, reduce_corpus(files, level, stats), repo_summary(files, stats, level)
+    )
+
+
 def reduction_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
     """Bytes before and after by repository, and what is left in percent."""
     size = F.octet_length("content").cast("bigint")

@@ -78,6 +78,21 @@ def reduced_report_rows(
     )
 
 
+def rewritten_report_rows(sections: DataFrame, reduced: DataFrame, summary: DataFrame) -> DataFrame:
+    """Rows of a finished report (its cut sections) after reduction."""
+    nothing = F.lit("Repository contains 0 files with approximately 0 lines of code.")
+    told = sections.select("repo").join(summary, "repo", "left").select(
+        "repo", F.coalesce("summary", nothing).alias("summary")
+    )
+    return (
+        _rows(sections, 0, F.concat("readme", F.lit("\n")))
+        .unionByName(_rows(told, 1, F.concat(F.lit(settings.SUMMARY_HEADER), F.col("summary"), F.lit("\n"))))
+        .unionByName(_rows(sections, 2, F.concat("structure", F.lit("\n"))))
+        .unionByName(_rows(sections, 3, F.lit(settings.FILES_HEADER.rstrip("\n"))))
+        .unionByName(_file_rows(reduced, 4))
+    )
+
+
 def report_bytes(rows: DataFrame) -> DataFrame:
     """Size of each report as written."""
     return rows.groupBy("repo").agg((F.sum(F.octet_length("text") + 1)).cast("bigint").alias("n_bytes"))

@@ -1,6 +1,7 @@
 """Joins, ranks and whole jobs against brute force on small corpora."""
 
 import itertools
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ def _random_corpus(n=60, repos=("hot", "hot", "b"), seed=3):
 def test_reference_count_equals_all_pairs(corpus):
     rows = _random_corpus()
     expected = {}
-    import os
-
     for (repo, path, _), (other_repo, other, content) in itertools.product(rows, rows):
         if repo == other_repo and path != other:
             stem = os.path.splitext(os.path.basename(path))[0]
@@ -205,6 +204,23 @@ def test_report_scan(spark):
     assert [(b.path, b.content) for b in blocks] == [("a", "three File: x"), ("b/c", "two")]
 
 
+def test_reduce_report(spark):
+    text = "README:\nHi\n\nStructure:\nr/\n    a.rb\n\nFile Contents:\nFile: a.rb\nContent:\nx = 1\n\n"
+    reports = spark.createDataFrame([("r", text), ("e", "README:\nStructure:\nFile Contents:\n")], "repo string, text string")
+    rows = reduction.reduce_reports(reports, MEDIUM).orderBy("repo", "section", "ord").collect()
+    written = lambda repo: "".join(r.text + "\n" for r in rows if r.repo == repo)
+    assert written("r") == (
+        "README:\nHi\n\nRepository Analysis Summary:\n"
+        "Repository contains 1 files with approximately 1 lines of code.\nMain languages: ruby (1).\n"
+        "Largest file: a.rb (1 lines).\nKey files include:\n- a.rb\n\n"
+        "Structure:r/\n    a.rb\n\nFile Contents:\nFile: a.rb\nContent:\nx = 1\n\n"
+    )
+    assert written("e") == (
+        "README:\n\nRepository Analysis Summary:\nRepository contains 0 files with approximately 0 lines of code.\n\n"
+        "Structure:\n\nFile Contents:\n"
+    )
+
+
 def test_one_hot_key_everywhere(corpus):
     """All files in one repository, with one stem and one text."""
     text = "import index\n" + "same words again " * 5
