@@ -46,3 +46,11 @@ def test_entry(spark):
     assert entry.entry(spark).columns == [
         "repo", "path", "ord", "lang", "n_lines", "n_chars", "import_count", "importance",
     ]
+
+
+def test_reference_points(spark):
+    """Counts that were worked out before the jobs were written."""
+    stats = entry.queries()["file_stats"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(row.import_count for row in stats) == 871
+    scores = [row.importance for row in stats]
+    assert {score: scores.count(score) for score in set(scores)} == {10: 1, 8: 334, 7: 6, 5: 598, 3: 61}
