@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +38,31 @@ def settle(df: DataFrame) -> DataFrame:
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         shared = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
+        one_machine = context.master == "local" or context.master.startswith("local[")
+        if shared is None and not one_machine:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession, root: str) -> None:
+    """Send the package under ``root`` to the executors, once per application.
+
+    Python workers need it for the few jobs with Python in their tasks; where the
+    package is installed on the cluster this is not needed.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusmill-code-"), "corpusmill_code.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(os.path.join(root, "corpusmill")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
