@@ -20,7 +20,7 @@ exceeds that bound, then in some segment the two sets differ by less than ``v``.
 * Before a pair becomes a row, 2048 parity bits per set bound the difference from
   below; what remains is verified exactly on the two texts.
 
-Sets are those of 64-bit shingle hashes.
+Sets are those of 64-bit shingle hashes; a node is a distinct set, named by a 64-bit hash of its elements.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def plan_of(band: int) -> tuple[int, int]:
     """Number of segments of a band, and how many of them are matched up to one deletion."""
     need = int(_TOPS[band]) // 3 + 1
     m = need + 2 + need // 16 if need > 1 else 1
-    return m, (0 if m == 1 else max(min(m, 8), -(-m // 20)))
+    return m, (0 if m == 1 else max(min(m, 8), m // 100))
 
 
 def bands(n: int) -> list[int]:
@@ -92,8 +92,8 @@ def capacity(u: np.ndarray, band: int) -> int:
     return int((sizes > 0).sum() + (sizes[:doubled] > 1).sum())
 
 
-def posts(u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Band, signatures, roles and segments of all posts of a set."""
+def posts(u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures and tags (four times the segment, plus the role) of all posts of a set."""
     value = mix(u + _U(0x5851F42D4C957F2D))
     own = band_of(len(u))
     for band in bands(len(u)):
@@ -108,10 +108,8 @@ def posts(u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
         at = at[at_wide]
         role = CONTENT if band == own else PROBE
         yield (
-            band,
             mix(np.concatenate((content + place, deletions + place[at]))),
-            np.concatenate((np.full(len(filled), role, np.int32), np.full(len(at), role + 2, np.int32))),
-            np.concatenate((filled, filled[at])).astype(np.int32),
+            4 * np.concatenate((filled, filled[at])) + np.concatenate((np.full(len(filled), role), np.full(len(at), role + 2))),
         )
 
 
@@ -126,10 +124,10 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, u in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
             with np.errstate(over="ignore"):
                 n = len(u)
-                own = capacity(u, band_of(n)) if n else 0
-                below = capacity(u, band_of(n) - 1) if n and len(bands(n)) > 1 else 0
-                sums = (int(u.sum(dtype=_U).view(np.int64)), int(mix(u).sum(dtype=_U).view(np.int64))) if n else (0, 0)
-                rows.append((key, n, *sums, own, below, np.frombuffer(sketch(u), np.int64) if n else None))
+                rooms = [capacity(u, band) for band in bands(n)] if n else []
+                room_own, room_below = (*rooms, 0, 0)[:2]
+                node, check = (node_of(u), int(mix(u).sum(dtype=_U).view(np.int64))) if n else (0, 0)
+                rows.append((key, n, node, check, room_own, room_below, np.frombuffer(sketch(u), np.int64) if n else None))
         yield pa.RecordBatch.from_arrays(
             [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _PROFILE_ARROW, strict=True)]
             if rows
@@ -138,30 +136,42 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_PROFILE = "id bigint, n bigint, sum_1 bigint, sum_2 bigint, room_own bigint, room_below bigint, bits array<bigint>"
+_PROFILE = "id bigint, n bigint, node bigint, check bigint, room_own bigint, room_below bigint, bits array<bigint>"
 _PROFILE_NAMES = [part.split()[0] for part in _PROFILE.split(", ")]
 _PROFILE_ARROW = [pa.int64()] * 6 + [pa.list_(pa.int64())]
-_POST = "sig bigint, rep bigint, n bigint, band int, seg int, role int"
+_POST = "sig bigint, node bigint, tag int"
+_SEEN = 1 << 18
+
+
+def node_of(u: np.ndarray) -> int:
+    """Name of a set: a 64-bit hash of all its elements."""
+    return int(mix(u.sum(dtype=_U, keepdims=True) + _U(len(u)))[0].view(np.int64))
 
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [part.split()[0] for part in _POST.split(", ")]
+    """Posts of the sets; of a set that was among the last ``_SEEN`` ones of the task, none."""
+    seen: set[int] = set()
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["sig", "node", "tag"])
+
     for batch in batches:
-        keys = batch.column(0).to_pylist()
         held, size = [], 0
-        for key, u in zip(keys, shingle_sets(batch.column(1).to_pylist()), strict=True):
-            if not len(u):
-                continue
+        for u in shingle_sets(batch.column(0).to_pylist()):
             with np.errstate(over="ignore"):
-                for band, signatures, roles, segments in posts(u):
-                    k = len(signatures)
-                    held.append((signatures.view(np.int64), np.full(k, key), np.full(k, len(u)), np.full(k, band, np.int32), segments, roles))
-                    size += k
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                if not len(u) or (node := node_of(u)) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(node)
+                for signatures, tags in posts(u):
+                    held.append((signatures.view(np.int64), np.full(len(tags), node), tags.astype(np.int32)))
+                    size += len(tags)
+            if size > 100_000:
+                yield packed(held)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+            yield packed(held)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +187,39 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the ``(a, b)`` pairs whose texts link."""
-    named = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
+_FILTER_BITS = 1 << 26
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts without most of those whose id is not among ``ids``, so that little text is shuffled.
+
+    A filter of a fixed size, 8 MB: with far more ids it passes everything, and
+    costs nothing but time.
+    """
+    spot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
+    rows = ids.select(spot.alias("spot")).selectExpr("spot >> 6 AS at", "1L << cast(spot % 64 AS int) AS bit")
+    words = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(_FILTER_BITS // 64, np.int64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column(2).to_numpy()
+            hit = shared.value[spots >> 6] >> (spots & 63) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
+
+    return texts.select("id", "text", spot.alias("spot")).mapInArrow(keep, "id bigint, text string")
+
+
+def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the ``(a, b)`` pairs of nodes whose texts link; ``heads`` has a text's id for each node."""
+    named = lambda side: heads.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}"))
+    wanted = land(pairs.join(named("a"), "a").join(named("b"), "b"), "pairs")
+    ids = wanted.select(F.col("id_a").alias("id")).unionByName(wanted.select(F.col("id_b").alias("id")))
+    few = _only(texts, ids)
+    told = lambda side: few.select(F.col("id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}"))
+    both = wanted.join(told("a"), "id_a").join(told("b"), "id_b").select("a", "b", "text_a", "text_b")
     return land(both.mapInArrow(_linked, "a bigint, b bigint"), "verified")
 
 
@@ -192,36 +231,26 @@ def _may_link(n_1: Column, n_2: Column, bits_1: Column, bits_2: Column) -> Colum
 
 def _leader_pairs(alive: DataFrame) -> DataFrame:
     """Each set with the one that leads most of its buckets."""
-    shared = alive.where("low < rep").groupBy("rep", "low").agg(F.count("*").alias("k"))
-    return shared.groupBy("rep").agg(F.max_by("low", F.struct("k", "low")).alias("b")).select(F.col("rep").alias("a"), "b")
+    shared = alive.where("low < node").groupBy("node", "low").agg(F.count("*").alias("k"))
+    return shared.groupBy("node").agg(F.max_by("low", F.struct("k", "low")).alias("b")).select(F.col("node").alias("a"), "b")
 
 
-def _chosen(posted: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Probing posts that cost-based allocation leaves, per set and band.
+def _chosen(posted: DataFrame) -> DataFrame:
+    """The segments that cost-based allocation leaves, per node and band.
 
-    ``posted`` holds those in buckets of several components, with the bucket's size
-    as cost.  All other segments cost nothing and count in full towards the sum.
+    ``posted`` holds the posts in buckets of several components, with the bucket's
+    size as cost.  All other segments cost nothing and count in full.
     """
     top = F.element_at(F.array(*[F.lit(int(t)) for t in _TOPS]), F.col("band") + 1)
-    costs = posted.groupBy("rep", "n", "band", "seg").agg(
-        F.sum("cost").alias("cost"), F.max(F.when(F.col("role") >= DELETION, 2).otherwise(1)).alias("most")
-    )
-    # A doubled segment may have only its content in a shared bucket; skipping it still gives up 2.
     doubled = F.element_at(F.array(*[F.lit(plan_of(i)[1]) for i in range(len(_TOPS))]), F.col("band") + 1)
-    costs = costs.withColumn("v", F.when((F.col("most") == 2) | (F.col("seg") < doubled), 2).otherwise(1))
-    room = profiles.select(F.col("id").alias("rep"), "room_own", "room_below", F.col("own").alias("own_band"))
-    spare = (
-        F.when(F.col("band") == F.col("own_band"), F.col("room_own")).otherwise(F.col("room_below"))
-        - F.floor((F.col("n") + F.least("n", top)) / 7)
-        - 1
-    )
-    dearest = Window.partitionBy("rep", "band").orderBy(F.desc("cost"), "seg")
-    return (
-        costs.join(room, "rep")
-        .withColumn("skipped", F.sum("v").over(dearest.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("skipped") > spare)
-        .select("rep", "band", "seg")
+    costs = posted.groupBy("node", "band", "seg").agg(
+        F.sum("cost").alias("cost"), F.first("n").alias("n"), F.first("room").alias("room")
     )
+    # Skipping a doubled segment may give up 2, also where only one of its posts is in a shared bucket.
+    costs = costs.withColumn("v", F.when(F.col("seg") < doubled, 2).otherwise(1))
+    spare = F.col("room") - F.floor((F.col("n") + F.least("n", top)) / 7) - 1
+    dearest = Window.partitionBy("node", "band").orderBy(F.desc("cost"), "seg").rowsBetween(Window.unboundedPreceding, 0)
+    return costs.withColumn("skipped", F.sum("v").over(dearest)).where(F.col("skipped") > spare).select("node", "band", "seg")
 
 
 def _own_band(n: Column) -> Column:
@@ -238,39 +267,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     profiles = land(texts.mapInArrow(_profiles, _PROFILE), "profiles").withColumn("own", _own_band(F.col("n")))
-    # Exact copies of a set are one.
-    classes = profiles.groupBy("n", "sum_1", "sum_2").agg(F.min("id").alias("rep"))
-    member = land(
-        profiles.select("id", "n", "sum_1", "sum_2").join(classes, ["n", "sum_1", "sum_2"]).select(
-            "id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("rep")).alias("rep")
-        ),
-        "members",
-    )
-    heads = member.where("id = rep AND n > 0").select("id")
-    head_texts = texts.join(heads, "id")
+    heads = land(profiles.where("n > 0").groupBy("node", "n", "check").agg(F.min("id").alias("id")), "heads")
     bucket = Window.partitionBy("sig")
+    indexed = (F.col("tag") % 4).isin(CONTENT, DELETION)
     alive = land(
-        head_texts.select("id", "text")
+        texts.select("text")
         .mapInArrow(_posts, _POST)
         .withColumns(
             {
-                "low": F.min("rep").over(bucket),
-                "high": F.max("rep").over(bucket),
-                "indexed": F.max(F.col("role").isin(CONTENT, DELETION)).over(bucket),
+                "low": F.min("node").over(bucket),
+                "high": F.max("node").over(bucket),
+                "indexed": F.max(indexed).over(bucket),
             }
         )
         .where("low < high AND indexed")
-        .drop("high", "indexed"),
+        .select("sig", "node", "tag", "low")
+        .distinct(),
         "posts",
     )
-    first = _verified(_leader_pairs(alive), texts)
+    first = _verified(_leader_pairs(alive), heads, texts)
     near = components(first)
     # Buckets that still hold several components.
-    labelled = alive.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    head_profiles = profiles.join(heads, "id")
-    mixed = land(
+    labelled = alive.drop("low").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (
         labelled.withColumns(
             {
                 "cost": F.count("*").over(bucket),
@@ -279,13 +298,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             }
         )
         .where("least < greatest")
-        .drop("low", "least", "greatest"),
+        .drop("least", "greatest")
+        .withColumn("role", F.col("tag") % 4)
+        .withColumn("seg", F.floor(F.col("tag") / 4))
+    )
+    facts = profiles.join(heads.select("id"), "id").select("node", "n", "own", "room_own", "room_below", "bits")
+    below = F.col("role").isin(PROBE, PROBE_DELETION)
+    mixed = land(
+        mixed.join(facts.drop("bits"), "node")
+        .withColumn("band", F.col("own") - below.cast("int"))
+        .withColumn("room", F.when(below, F.col("room_below")).otherwise(F.col("room_own")))
+        .drop("own", "room_own", "room_below", "tag"),
         "mixed",
     )
-    bits = head_profiles.select(F.col("id").alias("rep"), "bits")
-    probes = mixed.join(_chosen(mixed, head_profiles), ["rep", "band", "seg"]).join(bits, "rep").alias("p")
-    index = mixed.where(F.col("role").isin(CONTENT, DELETION)).join(bits, "rep").alias("i")
-    larger = (F.col("p.n") > F.col("i.n")) | ((F.col("p.n") == F.col("i.n")) & (F.col("p.rep") > F.col("i.rep")))
+    bits = facts.select("node", "bits")
+    probes = mixed.join(_chosen(mixed), ["node", "band", "seg"]).join(bits, "node").alias("p")
+    index = mixed.where(F.col("role").isin(CONTENT, DELETION)).join(bits, "node").alias("i")
+    larger = (F.col("p.n") > F.col("i.n")) | ((F.col("p.n") == F.col("i.n")) & (F.col("p.node") > F.col("i.node")))
     met = probes.join(
         index,
         (F.col("p.sig") == F.col("i.sig"))
@@ -293,11 +322,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         & ((F.col("p.role") < DELETION) | (F.col("i.role") < DELETION))
         & larger
         & _may_link(F.col("p.n"), F.col("i.n"), F.col("p.bits"), F.col("i.bits")),
-    ).select(F.col("p.rep").alias("a"), F.col("i.rep").alias("b"))
-    second = _verified(met.unionByName(_short_of_room(head_profiles)).distinct(), texts)
-    closed = components(first.unionByName(second)).withColumnRenamed("node", "rep")
-    return member.join(closed, "rep", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    ).select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
+    second = _verified(met.unionByName(_short_of_room(facts)).distinct(), heads, texts)
+    closed = components(first.unionByName(second)).join(heads.select("node", "id"), "node")
+    least = closed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = heads.select("node", "n", "check", "id").join(
+        closed.join(least, "component").select("node", "component_id"), "node", "left"
+    )
+    members = profiles.select(F.col("id").alias("doc"), "n", "node", "check").join(
+        named.withColumnRenamed("id", "head"), ["node", "n", "check"], "left"
+    )
+    return members.select(
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "head", "doc").alias("component_id")
     )
 
 
@@ -308,8 +344,8 @@ def _short_of_room(profiles: DataFrame) -> DataFrame:
     segments), but exactness must not rest on that: they meet the whole band.
     """
     tops = F.array(*[F.lit(int(t)) for t in _TOPS])
-    both = profiles.select("id", "n", "bits", F.col("own").alias("band"), F.col("room_own").alias("room")).unionByName(
-        profiles.where("room_below > 0").select("id", "n", "bits", (F.col("own") - 1).alias("band"), F.col("room_below").alias("room"))
+    both = profiles.select("node", "n", "bits", F.col("own").alias("band"), F.col("room_own").alias("room")).unionByName(
+        profiles.where("room_below > 0").select("node", "n", "bits", (F.col("own") - 1).alias("band"), F.col("room_below").alias("room"))
     )
     short = both.where(
         F.col("room") < F.floor((F.col("n") + F.least("n", F.element_at(tops, F.col("band") + 1))) / 7) + 1
@@ -317,6 +353,6 @@ def _short_of_room(profiles: DataFrame) -> DataFrame:
     return short.join(
         profiles.alias("i"),
         (F.col("p.band") == F.col("i.own"))
-        & (F.col("p.id") != F.col("i.id"))
+        & (F.col("p.node") != F.col("i.node"))
         & _may_link(F.col("p.n"), F.col("i.n"), F.col("p.bits"), F.col("i.bits")),
-    ).select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b"))
+    ).select(F.greatest("p.node", "i.node").alias("a"), F.least("p.node", "i.node").alias("b"))
