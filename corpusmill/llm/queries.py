@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, quality_classifier
+from corpusmill.llm import packing, pieces, quality_classifier, quality_rules, token_files, toxicity
+from corpusmill.llm.landing import new_path
 from corpusmill.llm.ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,24 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    token_files.write_ids(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_ids(spark, folder, with_ids=False)
+
+
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(_documents(spark, sf_dir), with_text=False)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -31,8 +50,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_token_files": op3_token_files,
+    "op4_piece_codec": op4_piece_codec,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL.replace("{table}", "documents")}
