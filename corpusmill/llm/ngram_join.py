@@ -40,7 +40,7 @@ from corpusmill.llm.landing import land
 from corpusmill.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
-SKETCH_WORDS = 32
+SKETCH_WORDS, FOLD_WORDS = 32, 8
 _BITS = 64 * SKETCH_WORDS
 # Roles of a post: content (indexed and probing), content (probing only), and the same of deletions.
 CONTENT, PROBE, DELETION, PROBE_DELETION = 0, 1, 2, 3
@@ -223,16 +223,41 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame
     return land(both.mapInArrow(_linked, "a bigint, b bigint"), "verified")
 
 
-def _may_link(n_1: Column, n_2: Column, bits_1: Column, bits_2: Column) -> Column:
-    """False only for sets that cannot link, by their sizes and parities."""
-    difference = functools.reduce(operator.add, (F.bit_count(bits_1[i].bitwiseXOR(bits_2[i])) for i in range(SKETCH_WORDS)))
-    return (4 * n_1 >= 3 * n_2) & (4 * n_2 >= 3 * n_1) & (difference * 7 <= n_1 + n_2)
+def _folded(profiles: DataFrame) -> DataFrame:
+    """Adds the parities folded to ``FOLD_WORDS`` words, as plain columns that a join condition reads fast."""
+    words = lambda j: functools.reduce(Column.bitwiseXOR, (F.col("bits")[i] for i in range(j, SKETCH_WORDS, FOLD_WORDS)))
+    return profiles.withColumns({f"fold_{j}": words(j) for j in range(FOLD_WORDS)})
+
+
+def _may_link(one: str, other: str) -> Column:
+    """False only for sets that cannot link, by their sizes, their folded parities and their parities."""
+    n_1, n_2 = F.col(f"{one}.n"), F.col(f"{other}.n")
+
+    def difference(words: list[tuple[Column, Column]]) -> Column:
+        return functools.reduce(operator.add, (F.bit_count(x.bitwiseXOR(y)) for x, y in words))
+
+    few = difference([(F.col(f"{one}.fold_{j}"), F.col(f"{other}.fold_{j}")) for j in range(FOLD_WORDS)])
+    all_ = difference([(F.col(f"{one}.bits")[i], F.col(f"{other}.bits")[i]) for i in range(SKETCH_WORDS)])
+    return (4 * n_1 >= 3 * n_2) & (4 * n_2 >= 3 * n_1) & (few * 7 <= n_1 + n_2) & (all_ * 7 <= n_1 + n_2)
 
 
 def _leader_pairs(alive: DataFrame) -> DataFrame:
-    """Each set with the one that leads most of its buckets."""
-    shared = alive.where("low < node").groupBy("node", "low").agg(F.count("*").alias("k"))
-    return shared.groupBy("node").agg(F.max_by("low", F.struct("k", "low")).alias("b")).select(F.col("node").alias("a"), "b")
+    """Each set with the one that leads most of its buckets.
+
+    A bucket is led by its most central set: the one whose segments are shared most.
+    In a group of near copies that is the one with the fewest changes.
+    """
+    central = alive.groupBy("node").agg(F.sum(F.log("k")).alias("weight"))
+    lead = F.max(F.struct("weight", "node")).over(Window.partitionBy("sig"))
+    shared = (
+        alive.join(central, "node")
+        .withColumn("lead", lead)
+        .select("node", F.col("lead.node").alias("b"))
+        .where("node <> b")
+        .groupBy("node", "b")
+        .agg(F.count("*").alias("k"))
+    )
+    return shared.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("node").alias("a"), "b")
 
 
 def _chosen(posted: DataFrame) -> DataFrame:
@@ -278,17 +303,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "low": F.min("node").over(bucket),
                 "high": F.max("node").over(bucket),
                 "indexed": F.max(indexed).over(bucket),
+                "k": F.count("*").over(bucket),
             }
         )
         .where("low < high AND indexed")
-        .select("sig", "node", "tag", "low")
+        .select("sig", "node", "tag", "k")
         .distinct(),
         "posts",
     )
     first = _verified(_leader_pairs(alive), heads, texts)
     near = components(first)
     # Buckets that still hold several components.
-    labelled = alive.drop("low").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = alive.drop("k").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
         labelled.withColumns(
             {
@@ -311,7 +337,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .drop("own", "room_own", "room_below", "tag"),
         "mixed",
     )
-    bits = facts.select("node", "bits")
+    facts = _folded(facts)
+    bits = facts.select("node", "bits", *(f"fold_{j}" for j in range(FOLD_WORDS)))
     probes = mixed.join(_chosen(mixed), ["node", "band", "seg"]).join(bits, "node").alias("p")
     index = mixed.where(F.col("role").isin(CONTENT, DELETION)).join(bits, "node").alias("i")
     larger = (F.col("p.n") > F.col("i.n")) | ((F.col("p.n") == F.col("i.n")) & (F.col("p.node") > F.col("i.node")))
@@ -321,7 +348,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         & (F.col("p.component") != F.col("i.component"))
         & ((F.col("p.role") < DELETION) | (F.col("i.role") < DELETION))
         & larger
-        & _may_link(F.col("p.n"), F.col("i.n"), F.col("p.bits"), F.col("i.bits")),
+        & _may_link("p", "i"),
     ).select(F.col("p.node").alias("a"), F.col("i.node").alias("b"))
     second = _verified(met.unionByName(_short_of_room(facts)).distinct(), heads, texts)
     closed = components(first.unionByName(second)).join(heads.select("node", "id"), "node")
@@ -344,8 +371,9 @@ def _short_of_room(profiles: DataFrame) -> DataFrame:
     segments), but exactness must not rest on that: they meet the whole band.
     """
     tops = F.array(*[F.lit(int(t)) for t in _TOPS])
-    both = profiles.select("node", "n", "bits", F.col("own").alias("band"), F.col("room_own").alias("room")).unionByName(
-        profiles.where("room_below > 0").select("node", "n", "bits", (F.col("own") - 1).alias("band"), F.col("room_below").alias("room"))
+    slim = profiles.drop("own", "room_own", "room_below")
+    both = profiles.select(*slim.columns, F.col("own").alias("band"), F.col("room_own").alias("room")).unionByName(
+        profiles.where("room_below > 0").select(*slim.columns, (F.col("own") - 1).alias("band"), F.col("room_below").alias("room"))
     )
     short = both.where(
         F.col("room") < F.floor((F.col("n") + F.least("n", F.element_at(tops, F.col("band") + 1))) / 7) + 1
@@ -354,5 +382,5 @@ def _short_of_room(profiles: DataFrame) -> DataFrame:
         profiles.alias("i"),
         (F.col("p.band") == F.col("i.own"))
         & (F.col("p.node") != F.col("i.node"))
-        & _may_link(F.col("p.n"), F.col("i.n"), F.col("p.bits"), F.col("i.bits")),
+        & _may_link("p", "i"),
     ).select(F.greatest("p.node", "i.node").alias("a"), F.least("p.node", "i.node").alias("b"))
