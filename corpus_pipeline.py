@@ -1,31 +1,58 @@
 """From raw documents to packed training sequences, in four stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its
-predecessor kept.  ``run`` writes every stage's rows as Parquet to the shared
-folder and reads them again for the next.
+predecessor kept; all but the last return the columns of documents.  ``run`` writes
+every stage's rows as Parquet to the shared folder and reads them again for the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.landing import land
 from corpusmill.llm.ngram_join import ngram_join
+from corpusmill.llm.packing import pack
+from corpusmill.llm.quality_classifier import keep_quality
+from corpusmill.llm.quality_rules import keep_documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of ``sf_dir``, takes for good."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the line and base rules; their texts stay as they are."""
+    return keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest id stays."""
-    heads = ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(heads, "doc_id").select(docs.columns)
+    """Of each component of linked documents, the one with the smallest id.
+
+    Documents without an id belong to no component and stay; rows that repeat an id
+    share its verdict.
+    """
+    others = ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("n-gram join", near_duplicates),
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", packing),
 ]
 
+# Learned scores and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -286,11 +286,13 @@ def _own_band(n: Column) -> Column:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id>, n_shingles, component_id)``: links of similarity 3/4 or more, closed to components.
 
-    Empty and null texts have no shingles and their own component.  Ids must be
-    distinct and not null: rows with a null id are left out, and repeated ids count
-    once (their least text).  Other columns are ignored, whatever their names.
+    Empty and null texts have no shingles and their own component.  Rows with a null
+    id are left out, and an id that is repeated counts once, with its least text.
+    Other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():
+        texts = land(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
     profiles = land(texts.mapInArrow(_profiles, _PROFILE), "profiles").withColumn("own", _own_band(F.col("n")))
     heads = land(profiles.where("n > 0").groupBy("node", "n", "check").agg(F.min("id").alias("id")), "heads")
     bucket = Window.partitionBy("sig")

@@ -134,6 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train([(r.y, np.frombuffer(r.ids, np.int32), np.frombuffer(r.weights, np.float32).astype(float)) for r in rows], totals)
 
 
+def _scores(texts: list[str | None], table: np.ndarray, constant: float) -> np.ndarray:
+    means = [_means(table, *slice_) for slice_ in features(texts)]
+    logits = np.concatenate(means) + constant if means else np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; score is the probability of quality 1.
 
@@ -146,11 +152,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means = [_means(table, *slice_) for slice_ in features(batch.column(1).to_pylist())]
-            logits = np.concatenate(means) + constant if means else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))], names=["doc_id", "score"]
-            )
+            scores = _scores(batch.column(1).to_pylist(), table, constant)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     scores = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scored, "doc_id bigint, score double")
     return scores.select(
@@ -159,3 +162,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, all their columns as they are."""
+    table, constant = fit(docs, labels, per_class=per_class)
+    table = table.astype(np.float32)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), table, constant) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -146,6 +146,19 @@ def judge_documents(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_judged(with_text), schema)
 
 
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, all their columns as they are."""
+    columns = [docs.columns.index("doc_id"), docs.columns.index("text")]
+    judged = _judged(False)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for verdict in judged(iter([batch.select(columns)])):
+                yield batch.filter(verdict.column(7))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 # The same verdicts in DuckDB SQL; {table} names the documents.
 SQL = r"""
 WITH lines AS (
