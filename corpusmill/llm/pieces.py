@@ -141,12 +141,14 @@ class PieceModel:
             put(space, symbols[0][1])
         after_space = self.squeeze
         last_end = symbols[-1][2]
-        for part, begin, _ in symbols:
-            if after_space:
-                part = part.lstrip(b" ")
+        for part, begin, finish in symbols:
+            # Bytes that stay as they are stand for themselves; replacements for the whole symbol.
+            same = part == raw[begin:finish]
+            skip = len(part) - len(part.lstrip(b" ")) if after_space else 0
+            part = part[skip:]
             if part:
-                for byte in part:
-                    put(space if byte == 32 else bytes([byte]), begin)
+                for k, byte in enumerate(part):
+                    put(space if byte == 32 else bytes([byte]), begin + (skip + k if same else 0))
                 after_space = self.squeeze and part.endswith(b" ")
         if self.squeeze:
             while out.endswith(space):
