@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-MEMORY_BYTES = 360 << 20
+MEMORY_BYTES = 420 << 20
 _ENTRY_BYTES = 190  # a key, its value and their place in the table, without their content
 
 # A line feed or space that is neither first nor last in its run of white space.
