@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import settings
 from corpusmill.catalog import views
-from corpusmill.functions import paths, text
+from corpusmill.functions import text
 from corpusmill.functions.joins import meet
 from corpusmill.operators import (
     duplicates,
@@ -28,7 +28,7 @@ from corpusmill.operators import (
 from corpusmill.plans import analysis, reduction, report
 from corpusmill.sources import report_text, tables
 
-LIGHT, MEDIUM, HEAVY = (settings.LEVELS[name] for name in ("light", "medium", "heavy"))
+DEFAULT, LIGHT, MEDIUM, HEAVY, HEAVY_ALL = (settings.LEVELS[name] for name in ("default", "light", "medium", "heavy", "heavy_all"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +142,18 @@ def _reports(files: DataFrame) -> DataFrame:
     )
 
 
+def _document_reports(files: DataFrame) -> DataFrame:
+    """Every document as a finished report of two files: itself, and a test that repeats it."""
+    block = lambda path: F.concat(F.lit("File: "), path, F.lit("\nContent:\n"), F.col("content"), F.lit("\n\n"))
+    return files.select(
+        F.concat("repo", F.lit("_"), F.col("ord").cast("string")).alias("repo"),
+        F.concat(
+            F.lit("README:\n"), "path", F.lit("\n\nStructure:\n"), "repo", F.lit("/\n\nFile Contents:\n"),
+            block(F.col("path")), block(F.concat(F.lit("more/test_"), F.col("ord").cast("string"), F.lit(".txt"))),
+        ).alias("text"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "readme_pick": _over("code", _readme_of),
@@ -170,7 +182,7 @@ QUERIES: dict[str, Query] = {
     "text_size": _over("seeded", lambda f: profile.file_sizes(f).select("repo", "path", "n_chars", "n_bytes")),
     "importance": _with_stats("seeded", lambda s: s.select("repo", "path", "importance")),
     # order and limits
-    "largest_files": _with_stats("seeded", ranking.largest_files),
+    "largest_files": _over("seeded", lambda f: ranking.largest_files(profile.file_sizes(f))),
     "key_files": _with_stats("seeded", ranking.key_files),
     "tree_listing": _wanted("code", tree.tree_listing),
     "flat_listing": _wanted("code", tree.flat_listing),
@@ -212,12 +224,7 @@ QUERIES: dict[str, Query] = {
     "html_clean": _text_job("pages", lambda c: rules.html(c, MEDIUM)),
     "html_list_trim": _text_job("pages", lambda c: rules.html(c, HEAVY)),
     "css_clean": _text_job("css", lambda c: rules.css(c, HEAVY)),
-    "script_reduce": _over(
-        "code",
-        lambda f: f.where(paths.language(F.col("path")).isin("javascript", "typescript")).select(
-            "repo", "path", rules.script(rules.generic(F.col("content"), HEAVY), HEAVY).alias("content")
-        ),
-    ),
+    "script_reduce": _text_job("script", lambda c: rules.script(rules.generic(c, HEAVY), HEAVY)),
     "generic_reduce": _text_job("python", lambda c: rules.generic(c, MEDIUM)),
     "generic_reduce_heavy": _text_job("python", lambda c: rules.generic(c, HEAVY)),
     "rule_effects": _over("code", lambda f: rules.rule_effects(f, SHARED_RULES)),
@@ -228,5 +235,9 @@ QUERIES: dict[str, Query] = {
     "corpus_reduce": _over("seeded", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_code": _over("code", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_heavy": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY)),
-    "report_reduce": _over("thread", lambda f: reduction.reduce_reports(_reports(f), MEDIUM)),
+    "corpus_reduce_heavy_all": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY_ALL)),
+    "corpus_reduce_light": _over("seeded", lambda f: reduction.reduce_corpus(f, LIGHT)),
+    "corpus_reduce_default": _over("seeded", lambda f: reduction.reduce_corpus(f, DEFAULT)),
+    "report_reduce": _over("seeded", lambda f: reduction.reduce_reports(_document_reports(f), MEDIUM)),
+    "report_reduce_heavy": _over("seeded", lambda f: reduction.reduce_reports(_document_reports(f), HEAVY)),
 }

@@ -153,6 +153,13 @@ def css_sql(d) -> str:
     FROM (SELECT doc_id, source, lang, {sentences} AS sentences FROM documents)"""
 
 
+def script_sql(d) -> str:
+    """Every document as a script."""
+    sentences = d.sub("text", r"\. ", ".\n")
+    return f"""SELECT source AS repo, doc_id AS ord, concat(lang, '/doc_', doc_id, '.js') AS path, {_script(d, "'\"'")} AS content
+    FROM (SELECT doc_id, source, lang, {sentences} AS sentences FROM documents)"""
+
+
 def json_sql(d) -> str:
     """Every document as a JSON array or object."""
     return f"""SELECT source AS repo, doc_id AS ord, concat(lang, '/doc_', doc_id, '.json') AS path, {_json(d)} AS content
@@ -168,6 +175,7 @@ VIEWS = {
     "code": (code_sql, "documents", ["doc_id"]),
     "python": (python_sql, "documents", ["doc_id"]),
     "css": (css_sql, "documents", ["doc_id"]),
+    "script": (script_sql, "documents", ["doc_id"]),
     "json": (json_sql, "documents", ["doc_id"]),
     "thread": (thread_sql, "conversations", ["conv_id", "turn"]),
     "pages": (pages_sql, "pages", ["page_id"]),

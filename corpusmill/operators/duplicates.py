@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.functions.joins import attach
 
 MIN_CHARS = 50  # a section counts if it is longer than this
 
@@ -50,29 +49,6 @@ def chunks(files: DataFrame) -> DataFrame:
     )
 
 
-def chunk_lines_by_window(files: DataFrame) -> DataFrame:
-    """The same sections from a table of lines and a running delimiter count.
-
-    Kept as the check of :func:`chunks`; the row-local form needs no shuffle.
-    """
-    line = F.col("line")
-    lines = files.select(
-        "repo", "path", "ord", F.posexplode(text.split_lines(F.col("content"))).alias("ln", "line")
-    ).withColumn("is_delim", line.rlike(rf"^[{text.SPACE}]*+(?:#|//|/\*|\*|\z)"))
-    island = F.sum(F.col("is_delim").cast("int")).over(Window.partitionBy("repo", "path").orderBy("ln"))
-    return (
-        lines.withColumn("island", island)
-        .where(~F.col("is_delim"))
-        .groupBy("repo", "path", "ord", "island")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda s: s["line"]), "\n"
-            ).alias("chunk")
-        )
-        .where(F.length("chunk") > MIN_CHARS)
-    )
-
-
 def first_occurrence(occurrences: DataFrame) -> DataFrame:
     """The first place of every section; tasks keep one row per digest each
     before the shuffle (window group limit)."""
@@ -120,7 +96,7 @@ def duplicate_totals(files: DataFrame) -> DataFrame:
 
 
 def replacements(files: DataFrame, threshold: int) -> DataFrame:
-    """What to replace in which file: ``(repo, path, edits)``.
+    """What to replace in which file: ``(repo, path, edits)``, one edit per section.
 
     A section with at least ``threshold`` occurrences is replaced in every file
     that holds one of its occurrences but the first.  ``edits`` lists
@@ -146,10 +122,12 @@ def replacements(files: DataFrame, threshold: int) -> DataFrame:
         .where(F.col("seen") >= threshold)
         .drop("seen")
     )
-    later = ~((F.col("path") == F.col("first_path")) & (F.col("chunk_ord") == F.col("first_chunk")))
+    # One row per file and section, however often the file repeats it.
+    held = occurrences.groupBy("repo", "path", "h").agg(F.min("chunk_ord").alias("chunk_ord"), F.max("chunk_ord").alias("last_chunk"))
+    later = ~((F.col("path") == F.col("first_path")) & (F.col("last_chunk") == F.col("first_chunk")))
     edit = F.struct("second_ord", "second_path", "second_chunk", "chunk_ord", "first_path")
     return (
-        attach(occurrences, groups, ["repo", "h"], ["path", "chunk_ord"], how="inner")
+        held.join(groups, ["repo", "h"])
         .where(later)
         .groupBy("repo", "path")
         .agg(F.array_sort(F.collect_list(edit)).alias("edits"))
@@ -158,15 +136,18 @@ def replacements(files: DataFrame, threshold: int) -> DataFrame:
 
 def replace_duplicates(reduced: Column, original: Column, edits: Column) -> Column:
     """Put a reference in place of each listed section that survived reduction."""
-    listed = F.transform(
-        edits,
-        lambda e: F.struct(
-            F.element_at(sections(original), (e["chunk_ord"] + 1).cast("int")).alias("chunk"),
-            e["first_path"].alias("first_path"),
-        ),
-    )
+
+    def listed(parts: Column) -> Column:
+        return F.transform(
+            edits,
+            lambda e: F.struct(
+                F.element_at(parts, (e["chunk_ord"] + 1).cast("int")).alias("chunk"),
+                e["first_path"].alias("first_path"),
+            ),
+        )
+
     replaced = F.aggregate(
-        listed,
+        text.let(sections(original), listed),
         reduced,
         lambda content, e: F.replace(
             content,

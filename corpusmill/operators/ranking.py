@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill import settings
+from corpusmill.settings import Level
+
+HEAVY = settings.LEVELS["heavy"]
 
 
 def _top(stats: DataFrame, measure: str, keep: int) -> DataFrame:
@@ -30,31 +33,35 @@ def key_files(stats: DataFrame, keep: int = 5) -> DataFrame:
     )
 
 
-def retained(stats: DataFrame) -> DataFrame:
+def retained(stats: DataFrame, level: Level = HEAVY) -> DataFrame:
     """Files that heavy reduction keeps: all of a small repository, else the most
     important ones.  One rank beyond the size limit tells which case it is."""
-    limit = settings.KEEP_WHOLE_UP_TO
+    if level.keep_files is None:
+        return stats
+    limit = level.keep_whole_up_to
     leading = _top(stats, "importance", limit + 1)
     size = F.max("rn").over(Window.partitionBy("repo"))  # at most limit + 1 rows
     return (
         leading.withColumn("size", size)
-        .where((F.col("size") <= limit) | (F.col("rn") <= settings.KEEP_FILES))
+        .where((F.col("size") <= limit) | (F.col("rn") <= level.keep_files))
         .drop("rn", "size")
     )
 
 
-def skipped(stats: DataFrame) -> DataFrame:
+def skipped(stats: DataFrame, level: Level = HEAVY) -> DataFrame:
     """Files that heavy reduction drops."""
-    return stats.join(retained(stats).select("repo", "path"), ["repo", "path"], "left_anti")
+    return stats.join(retained(stats, level).select("repo", "path"), ["repo", "path"], "left_anti")
 
 
-def skipped_counts(files: DataFrame) -> DataFrame:
+def skipped_counts(files: DataFrame, level: Level = HEAVY) -> DataFrame:
     """How many files heavy reduction drops, which follows from the number of files."""
+    if level.keep_files is None:
+        return files.select("repo", F.lit(0).cast("bigint").alias("n_skipped")).limit(0)
     return (
         files.groupBy("repo")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > settings.KEEP_WHOLE_UP_TO)
-        .select("repo", (F.col("n") - settings.KEEP_FILES).alias("n_skipped"))
+        .where(F.col("n") > level.keep_whole_up_to)
+        .select("repo", (F.col("n") - level.keep_files).alias("n_skipped"))
     )
 
 

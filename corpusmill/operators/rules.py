@@ -7,6 +7,7 @@ replacement from the match and are functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,15 +18,24 @@ from corpusmill.operators import imports, lines, symbols
 from corpusmill.settings import Level
 
 
+# Patterns and notes below are fixed values: results depend on them.
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A regex rule; no languages means every language with generic reduction."""
+    """A regex rule; no languages means every language with generic reduction.
+
+    ``closing`` is what every match ends with.  Text behind its last occurrence holds
+    no match and is left out, so openings without an end are not searched to the end
+    of the text one by one.
+    """
 
     name: str
     pattern: str
     replacement: str
     languages: tuple[str, ...] = ()
     heavy: bool = False
+    closing: str = ""
 
 
 _SCRIPT = ("javascript", "typescript")
@@ -48,17 +58,34 @@ RULES = {
             "<$1 /* props */ >/* complex component content */</$1>",
             _SCRIPT,
             heavy=True,
+            closing="</",
         ),
-        Rule("html_comment", r"(?s)<!--.*?-->", "", ("html",)),
+        Rule("html_comment", r"(?s)<!--.*?-->", "", ("html",), closing="-->"),
         Rule("html_gap", rf">[{text.SPACE}]++<", ">\n<", ("html",)),
-        Rule("css_comment", r"(?s)/\*.*?\*/", "", ("css",)),
+        Rule("css_comment", r"(?s)/\*.*?\*/", "", ("css",), closing="*/"),
     )
 }
 
 
+def closed_part(content: Column, closing: str, work: Callable[[Column], Column]) -> Column:
+    """``work`` on the text up to its last ``closing`` sign; the rest follows as it is."""
+
+    def both(t: Column, rest: Column) -> Column:
+        closed = F.substr(t, F.lit(1), F.length(t) - F.length(rest))
+        return F.when(t.contains(closing), F.concat(work(closed), rest)).otherwise(t)
+
+    return text.let(content, lambda t: text.let(F.substring_index(t, closing, -1), lambda rest: both(t, rest)))
+
+
 def apply_rule(content: Column, name: str) -> Column:
     rule = RULES[name]
-    return F.regexp_replace(content, rule.pattern, rule.replacement)
+    if not rule.closing:
+        return F.regexp_replace(content, rule.pattern, rule.replacement)
+    if rule.closing == "</":  # the name of the element follows
+        return closed_part(
+            content, ">", lambda t: F.when(t.contains("</"), F.regexp_replace(t, rule.pattern, rule.replacement)).otherwise(t)
+        )
+    return closed_part(content, rule.closing, lambda t: F.regexp_replace(t, rule.pattern, rule.replacement))
 
 
 # --- generic ----------------------------------------------------------------
@@ -202,7 +229,7 @@ def trim_items(content: Column, tag: str, what: str) -> Column:
         )
         return F.when(n_items > 5, F.regexp_replace(page, F.lit(run), note)).otherwise(page)
 
-    return text.let(content, trim)
+    return closed_part(content, f"</{tag}>", lambda t: text.let(t, trim))
 
 
 def html(content: Column, level: Level) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import settings
@@ -26,7 +26,7 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     edits = duplicates.replacements(files, level.duplicate_threshold)
     if level.heavy:
         stats = file_stats(files) if stats is None else stats
-        chosen = ranking.retained(stats).select("repo", "path", "importance")
+        chosen = ranking.retained(stats, level).select("repo", "path", "importance")
         todo = meet(files, chosen.join(edits, ["repo", "path"], "left"), ["repo", "path"], "inner")
     else:
         todo = meet(files, edits, ["repo", "path"], "left").withColumn("importance", F.lit(None).cast("bigint"))
@@ -39,7 +39,7 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     if not level.heavy:
         return reduced
     note_path = F.lit(settings.SKIPPED_SUMMARY_PATH)
-    notes = ranking.skipped_counts(files).select(
+    notes = ranking.skipped_counts(files, level).select(
         "repo",
         note_path.alias("path"),
         F.lit(2**63 - 1).cast("bigint").alias("ord"),  # behind all files
@@ -48,6 +48,14 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     return reduced.unionByName(notes)
 
 
+def reduce_report_files(spark: SparkSession, path: str, level: Level) -> DataFrame:
+    """The files in finished report files of any size, reduced: ``(repo, path, ord, content)``.
+
+    Reports are split at their blocks over many tasks and never held as a whole.
+    """
+    return reduce_corpus(report_text.read_report_blocks(spark, path), level)
+
+
 def reduce_reports(reports: DataFrame, level: Level) -> DataFrame:
     """Finished reports ``(repo, text)`` to the rows of their reduced form."""
     sections = report_text.report_sections(reports)

@@ -28,20 +28,27 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; our own folder only on a single machine without one."""
+    context = session.sparkContext
+    shared = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="corpusmill-")
+        session.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so several jobs can read it without recomputing.
 
     Uses the cluster's ``spark.checkpoint.dir``; a folder of our own is made only
     where none is set, which is the case in local tests.
     """
-    session = df.sparkSession
-    context = session.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        one_machine = context.master == "local" or context.master.startswith("local[")
-        if shared is None and not one_machine:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusmill-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # These must stay as they are for the results to be right.
@@ -79,13 +79,17 @@ FILES_HEADER = "File Contents:\n"
 SUMMARY_HEADER = "Repository Analysis Summary:\n"
 
 # ---------------------------------------------------------------------------
-# Reduction levels
+# Reduction levels.  The thresholds of LEVELS are fixed values: results depend on them.
 # ---------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Level:
-    """Thresholds of one reduction level."""
+    """Thresholds of one reduction level.
+
+    Heavy reduction keeps the ``keep_files`` most important files of a repository with
+    more than ``keep_whole_up_to``; with ``keep_files=None`` it keeps and reduces all.
+    """
 
     name: str
     min_lines: int
@@ -94,6 +98,8 @@ class Level:
     max_lines: int
     class_methods: int
     heavy: bool = False
+    keep_whole_up_to: int = 20
+    keep_files: int | None = 15
 
 
 LEVELS = {
@@ -102,8 +108,4 @@ LEVELS = {
     "medium": Level("medium", 25, 8, 5, 750, 5),
     "heavy": Level("heavy", 5, 3, 2, 300, 2, heavy=True),
 }
-
-# Heavy reduction keeps KEEP_FILES files of a repository with more than
-# KEEP_WHOLE_UP_TO files.
-KEEP_WHOLE_UP_TO = 20
-KEEP_FILES = 15
+LEVELS["heavy_all"] = replace(LEVELS["heavy"], name="heavy_all", keep_files=None)

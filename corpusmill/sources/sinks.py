@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.plans.report import ROW_ORDER
+from corpusmill.session import settle
 
 
 def report_names(roots: DataFrame, output: str | None = None, level: str | None = None) -> DataFrame:
@@ -35,6 +36,8 @@ def write_reports(rows: DataFrame, location: str, names: DataFrame | None = None
         named = rows.withColumn("report", F.concat(F.col("repo"), F.lit(suffix)))
     else:
         named = rows.join(names, "repo")
+    # Range partitioning samples its input first: without this the whole job would run twice.
+    named = settle(named)
     order = ["report", *ROW_ORDER]
     (
         named.repartitionByRange(*order)

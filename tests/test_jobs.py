@@ -4,9 +4,11 @@ import itertools
 import os
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill import settings
+from corpusmill.functions import text as text_functions
 from corpusmill.operators import duplicates, filters, profile, ranking, reduce, references
 from corpusmill.plans import analysis, reduction
 from corpusmill.sources import report_text
@@ -60,6 +62,26 @@ def _sections_of(content):
     return [s for delimiter, run in keyed if not delimiter and len(s := "\n".join(run)) > 50]
 
 
+def _chunks_by_window(files):
+    """The same sections as ``duplicates.chunks``, from a table of lines and a running delimiter count."""
+    line = F.col("line")
+    lines = files.select(
+        "repo", "path", "ord", F.posexplode(text_functions.split_lines(F.col("content"))).alias("ln", "line")
+    ).withColumn("is_delim", line.rlike(rf"^[{text_functions.SPACE}]*+(?:#|//|/\*|\*|\z)"))
+    island = F.sum(F.col("is_delim").cast("int")).over(Window.partitionBy("repo", "path").orderBy("ln"))
+    return (
+        lines.withColumn("island", island)
+        .where(~F.col("is_delim"))
+        .groupBy("repo", "path", "ord", "island")
+        .agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda s: s["line"]), "\n"
+            ).alias("chunk")
+        )
+        .where(F.length("chunk") > duplicates.MIN_CHARS)
+    )
+
+
 def _duplicate_corpus(n=40, seed=5):
     rng = random.Random(seed)
     blocks = [("word%d " % k) * rng.randint(5, 12) for k in range(6)]
@@ -80,7 +102,7 @@ def test_sections_and_groups(corpus):
         (repo, path, s) for repo, path, content in rows for s in _sections_of(content)
     ]
     # The window form over a line table gives the same sections.
-    by_window = duplicates.chunk_lines_by_window(files).select("repo", "path", "chunk").collect()
+    by_window = _chunks_by_window(files).select("repo", "path", "chunk").collect()
     assert sorted(map(tuple, by_window)) == sorted((r.repo, r.path, r.chunk) for r in found)
     groups = {}
     for r in found:
@@ -250,3 +272,25 @@ def test_file_reduction(corpus):
     after = corpus(("r", "a", "x"), ("r", "b", ""))
     rows = reduction.file_reduction(before, after).orderBy("path").collect()
     assert [(r.chars_before, r.chars_after, r.percent) for r in rows] == [(4, 1, 25.0), (0, 0, None), (1, None, None)]
+
+
+def test_many_repeats_of_one_section(corpus):
+    """A file that repeats one section 50,000 times has one edit, and loses every copy."""
+    section = "a section that is long enough to count as one of them"
+    files = corpus(("r", "a.txt", section), ("r", "b.txt", "\n\n".join([section] * 50_000)))
+    edits = duplicates.replacements(files, 2)
+    assert [len(row.edits) for row in edits.collect()] == [1]
+    content, joined = F.col("content"), files.join(edits, ["repo", "path"])
+    row = joined.select(duplicates.replace_duplicates(content, content, F.col("edits")).alias("c")).first()
+    assert section not in row.c and row.c.count("# DUPLICATE CODE") == 50_000
+
+
+def test_heavy_reduction_of_all_files(corpus):
+    """Without a bound on files, heavy reduction drops none and leaves no note."""
+    files = corpus(*[("r", f"d/f{i}.txt", f"line {i}\n" * 8) for i in range(40)])
+    some = reduction.reduce_corpus(files, HEAVY)
+    all_ = reduction.reduce_corpus(files, settings.LEVELS["heavy_all"])
+    assert (some.count(), all_.count()) == (16, 40)
+    kept = {r.path: r.content for r in some.collect()}
+    whole = {r.path: r.content for r in all_.collect()}
+    assert all(whole[path] == content for path, content in kept.items() if path in whole)

@@ -218,3 +218,18 @@ def test_long_texts_are_safe(spark, every_rule, doc):
     """Two hundred thousand lines through every rule: no recursion, no blow-up."""
     row = spark.createDataFrame([(doc,)], "t string").select(*every_rule).first()
     assert row[-1] == len(doc.splitlines())
+
+
+@pytest.mark.parametrize("opening", ["<li>x ", "<tr>x ", "<!-- x ", "/* x ", "<Foo " + "a" * 60 + "/>\n"])
+def test_unclosed_openings_are_linear(apply, opening):
+    """200,000 openings without an end pass through the rules that look for one, as they are."""
+    count = 200_000 if len(opening) < 20 else 20_000
+    doc = opening * count
+    for rewrite in (lambda c: rules.html(c, HEAVY), lambda c: rules.apply_rule(c, "css_comment"), lambda c: rules.apply_rule(c, "jsx_element")):
+        assert apply(rewrite, doc).count(opening.strip()[:5]) == count
+
+
+def test_text_behind_the_last_closing(apply):
+    assert apply(lambda c: rules.apply_rule(c, "html_comment"), "a<!-- b -->c<!-- d") == "ac<!-- d"
+    assert apply(lambda c: rules.apply_rule(c, "css_comment"), "a/* b */c/* d") == "ac/* d"
+    assert apply(lambda c: rules.apply_rule(c, "html_comment"), "<!--> x --> y") == " y"
