@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -17,6 +18,13 @@ import numpy as np
 MEMORY_BYTES = 420 << 20
 _ENTRY_BYTES = 190  # a key, its value and their place in the table, without their content
 
+# Latin letters as ASCII and Latin-1 have them, which no normalizer here changes but for their case.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+# How byte-level tokenizers write bytes: printable Latin-1 as itself, the others from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 # A line feed or space that is neither first nor last in its run of white space.
 _INNER = re.compile(r"\s[ \n]\s")
 
@@ -35,15 +43,50 @@ class SegmentEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.divider = spec["added_tokens"][0] if special and not spec["added_tokens"][0]["lstrip"] else None
         self.cut = _cut_for(spec)
+        self.model = self.tokenizer.model
+        self.lower = any(step["type"] == "Lowercase" for step in (spec["normalizer"] or {}).get("normalizers", []))
+        self.parts: dict[str, bytes] = {}
         self.memory: dict[bytes, bytes] = {}
         self.used = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the library's model on its bytes as it writes them."""
+        raw = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.dtype.char, [token.id for token in self.model.tokenize(raw)]).tobytes()
+
+    def _simple(self, word: str) -> bytes | None:
+        """Ids of Latin letters with a space or line feed before and punctuation after them; None for others.
+
+        Their pre-tokens are plain: the letters, with the space; the line feed; the
+        punctuation.  This spares the library's bookkeeping of offsets.
+        """
+        match = _PLAIN.fullmatch(word)
+        if match is None:
+            return None
+        before, letters, after = match.groups()
+        letters = letters.lower() if self.lower else letters
+        known = self.parts
+        for part in (before, after):
+            if part and part not in known:
+                known[part] = self._part(part)
+        if before == " ":
+            return self._part(" " + letters) + (known[after] if after else b"")
+        return (known[before] if before else b"") + self._part(letters) + (known[after] if after else b"")
+
     def _learn(self, missing: Iterable[bytes]) -> None:
-        """Encode segments in one call, with a special token between them that no text around it can join."""
-        words = list(missing)
+        """Encode segments: plain ones by the model, the others in one call, with a special token between them
+        that no text around it can join."""
+        words = []
+        for word in missing:
+            ids = self._simple(word.decode())
+            if ids is None:
+                words.append(word)
+            else:
+                self.memory[word] = ids
+                self.used += len(word) + len(ids) + _ENTRY_BYTES
         for first in range(0, len(words), 20_000):
             part = words[first : first + 20_000]
             if self.divider is None:
