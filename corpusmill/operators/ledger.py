@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill import settings
 from corpusmill.functions import paths
-from corpusmill.functions.joins import attach
 from corpusmill.operators import tree
 
 
@@ -88,15 +87,10 @@ def section_budget(components: DataFrame) -> DataFrame:
 def directory_budget(components: DataFrame) -> DataFrame:
     """Characters of file contents by immediate directory, ``.`` for the root, and
     their share of all components of the repository."""
-    totals = components.groupBy("repo").agg(F.greatest(F.sum("char_count"), F.lit(1)).alias("total"))
-    directory = paths.dirname(F.col("path"))
-    sums = (
-        components.where("type = 'file_content'")
-        .groupBy("repo", F.when(directory == "", ".").otherwise(directory).alias("dir"))
-        .agg(F.sum("char_count").alias("char_count"))
-    )
-    return (
-        attach(sums, totals, ["repo"], ["dir"])
-        .withColumn("percent", F.col("char_count") / F.col("total") * 100)
-        .drop("total")
-    )
+    # One pass over the components: sums by directory, one more row for all others,
+    # and totals over these few rows.
+    folder = paths.dirname(F.col("path"))
+    directory = F.when(F.col("type") == "file_content", F.when(folder == "", ".").otherwise(folder))
+    sums = components.groupBy("repo", directory.alias("dir")).agg(F.sum("char_count").alias("char_count"))
+    total = F.greatest(F.sum("char_count").over(Window.partitionBy("repo")), F.lit(1))
+    return sums.withColumn("percent", F.col("char_count") / total * 100).where("dir IS NOT NULL")

@@ -166,21 +166,30 @@ def json_sample(content: Column, level: Level) -> Column:
     def sample(value: Column) -> Column:
         n_items = F.json_array_length(content)
         items = value.cast("array<variant>")
+        # Numbers as a JSON reader writes them: VARIANT drops a fraction of zero.
+        written = F.from_json(content, "array<string>")
         keys = F.json_object_keys(content)
 
+        def shown_as(item: Column, text_of: Column) -> Column:
+            other = F.schema_of_variant(item).rlike("^(STRING|OBJECT|ARRAY|VOID)") | text_of.isNull()
+            return F.when(other, F.coalesce(F.to_json(item), F.lit("null"))).otherwise(text_of)
+
         def array_note(keep: int) -> Column:
             what = F.lit(f" items. First {keep} items:\n" if keep > 1 else " items. First item:\n")
-            shown = F.to_json(F.slice(items, 1, keep)) if keep > 1 else F.to_json(F.get(items, F.lit(0)))
+            first = F.array_join(F.zip_with(F.slice(items, 1, keep), F.slice(written, 1, keep), shown_as), ",")
+            shown = F.concat(F.lit("["), first, F.lit("]")) if keep > 1 else first
             return F.concat(F.lit("// JSON array with "), n_items.cast("string"), what, shown)
 
         def object_note(keep: int) -> Column:
             names = F.slice(keys, 1, keep)
             fields = value.cast("map<string,variant>")
+            written_fields = F.from_json(content, "map<string,string>")
             # A one-entry map gives the key its JSON quoting.
             entries = F.transform(
                 names,
-                lambda name: F.regexp_replace(
-                    F.to_json(F.map_from_arrays(F.array(name), F.array(F.element_at(fields, name)))), r"^\{|\}\z", ""
+                lambda name: F.concat(
+                    F.regexp_replace(F.to_json(F.map_from_arrays(F.array(name), F.array(F.lit(0)))), r"^\{|0\}\z", ""),
+                    shown_as(F.element_at(fields, name), F.element_at(written_fields, name)),
                 ),
             )
             return F.concat(

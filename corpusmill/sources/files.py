@@ -89,7 +89,11 @@ def _hidden_files(spark: SparkSession, root: str, ignored_dirs: set[str], wanted
                     if any(left_out(part) for part in path.split("/")):
                         found.append(path)
                 elif path.rsplit("/", 1)[-1] not in ignored_dirs:
-                    for info in files.get_file_info(fs.FileSelector(f"{base}/{path}")):
+                    try:
+                        inside = files.get_file_info(fs.FileSelector(f"{base}/{path}"))
+                    except PermissionError:  # as the reader's own walk, pass over what cannot be listed
+                        inside = []
+                    for info in inside:
                         stack.append((f"{path}/{info.base_name}", info.type == fs.FileType.Directory))
                 if len(found) >= 1000:
                     yield pd.DataFrame({"path": found})
@@ -102,8 +106,12 @@ def _hidden_files(spark: SparkSession, root: str, ignored_dirs: set[str], wanted
         files, base = open_root()
         for batch in batches:
             for path in batch["path"]:
-                with files.open_input_stream(f"{base}/{path}") as stream:
-                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+                try:
+                    with files.open_input_stream(f"{base}/{path}") as stream:
+                        content = stream.read()
+                except OSError as problem:
+                    content = f"Error reading file: {problem}".encode()
+                yield pd.DataFrame({"path": [path], "content": [content]})
 
     entries = spark.createDataFrame(top, "path string, is_dir boolean").repartition(slices, "path")
     listed = entries.mapInPandas(walk, "path string").where(wanted(F.col("path")))
@@ -123,8 +131,10 @@ def scan_tree(
     The ignore lists are tested on the file's metadata, so ignored files are
     listed but not opened.  README files and ``.gitignore`` at the root come along
     for the jobs that need them (``keep_readme``); :func:`filters.keep_wanted`
-    drops them again.  The result is settled: each small file is opened once, and
-    ``ord`` stays the same in every job that reads it.
+    drops them again.  The result is settled, so ``ord`` stays the same in every job
+    that reads it.  Files are opened twice, once for the sample that the order by path
+    is dealt by.  A hidden file that cannot be read has the error as its content; a
+    visible one ends the job unless ``spark.sql.files.ignoreCorruptFiles`` is set.
     """
     root = root.rstrip("/")
     name = repo or root.rsplit("/", 1)[-1]

@@ -233,3 +233,15 @@ def test_text_behind_the_last_closing(apply):
     assert apply(lambda c: rules.apply_rule(c, "html_comment"), "a<!-- b -->c<!-- d") == "ac<!-- d"
     assert apply(lambda c: rules.apply_rule(c, "css_comment"), "a/* b */c/* d") == "ac/* d"
     assert apply(lambda c: rules.apply_rule(c, "html_comment"), "<!--> x --> y") == " y"
+
+
+def test_json_samples_keep_numbers(apply):
+    """Numbers keep their fraction; nulls, escapes and nesting stay."""
+    more = ", ".join("4" for _ in range(9)) + "]"
+    medium, heavy = (lambda c: rules.json_sample(c, MEDIUM)), (lambda c: rules.json_sample(c, HEAVY))
+    assert apply(medium, f"[1.0, 2.50, 1e3, {more}").endswith("First 3 items:\n[1.0,2.5,1000.0]")
+    assert apply(medium, '[null, "x \\"y\\" 1", true, ' + more).endswith('\n[null,"x \\"y\\" 1",true]')
+    assert apply(medium, '[{"a": [1, 2]}, -7, "1.0", ' + more).endswith('\n[{"a":[1,2]},-7,"1.0"]')
+    assert apply(heavy, "[1.50, 2, 3, 4]").endswith("First item:\n1.5")
+    record = "{" + ", ".join(f'"k{i}": {i}.0' for i in range(6)) + "}"
+    assert apply(heavy, record).endswith('\n{"k0":0.0,"k1":1.0,"k2":2.0}')
