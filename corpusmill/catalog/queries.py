@@ -182,7 +182,10 @@ QUERIES: dict[str, Query] = {
     "text_size": _over("seeded", lambda f: profile.file_sizes(f).select("repo", "path", "n_chars", "n_bytes")),
     "importance": _with_stats("seeded", lambda s: s.select("repo", "path", "importance")),
     # order and limits
-    "largest_files": _over("seeded", lambda f: ranking.largest_files(profile.file_sizes(f))),
+    "largest_files": _over(
+        "seeded",
+        lambda f: ranking.largest_files(f.select("repo", "path", "ord", text.line_count(F.col("content")).alias("n_lines"))),
+    ),
     "key_files": _with_stats("seeded", ranking.key_files),
     "tree_listing": _wanted("code", tree.tree_listing),
     "flat_listing": _wanted("code", tree.flat_listing),
