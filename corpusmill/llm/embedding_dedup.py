@@ -271,3 +271,21 @@ def _tile_pairs(bounds: DataFrame, cosine: float, leading: int) -> DataFrame:
         most = most + F.greatest(*corners)
     fits = (F.col("a") <= F.col("b")) & (most + F.col("rest_a") * F.col("rest_b") >= cosine - SLACK)
     return a.join(b, "step").where(fits).select("a", "b").distinct()
+
+
+# The same rows in DuckDB SQL over ``embeddings`` with distinct ids and vectors of one width without bad components.
+SQL = """
+WITH RECURSIVE links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+), degrees AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM embeddings LEFT JOIN degrees USING (vec_id) JOIN reach ON node = vec_id GROUP BY vec_id
+"""

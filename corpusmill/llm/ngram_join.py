@@ -386,3 +386,31 @@ def _short_of_room(profiles: DataFrame) -> DataFrame:
         & (F.col("p.node") != F.col("i.node"))
         & _may_link("p", "i"),
     ).select(F.greatest("p.node", "i.node").alias("a"), F.least("p.node", "i.node").alias("b"))
+
+
+# The same rows in DuckDB SQL over ``documents`` with distinct ids, on the shingles themselves.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+      WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(shingle) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 75 * (s.n + t.n - c)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM words
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(other) AS component_id
+FROM sizes JOIN reach ON node = doc_id GROUP BY doc_id
+"""

@@ -7,9 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embedding_dedup, packing, pieces, quality_classifier, quality_rules, quotes, token_counts, token_files, toxicity
+from corpusmill.llm import embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, token_counts, token_files, toxicity
 from corpusmill.llm.landing import new_path
-from corpusmill.llm.ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_documents(spark, sf_dir))
+    return ngram_join.ngram_join(_documents(spark, sf_dir))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +73,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": ngram_join.SQL,
+    "op7_embedding_dedup": embedding_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL.replace("{table}", "documents"),
     "op10_chat_quotes": quotes.SQL,
 }
