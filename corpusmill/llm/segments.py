@@ -25,8 +25,8 @@ _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
-# A line feed or space that is neither first nor last in its run of white space.
-_INNER = re.compile(r"\s[ \n]\s")
+# A line feed or space that is neither first nor last in its run of white space, or the last of several at the text's end.
+_INNER = re.compile(r"\s[ \n](?:\s|\Z)")
 
 
 class SegmentEncoder:
@@ -126,7 +126,7 @@ def _cut_at_white_space(text: str) -> list[bytes]:
 
 def _cut_before_white_space(text: str) -> list[bytes] | None:
     """Words with the line feed or space before them; for tokenizers that match a text from left to right, where a
-    match ends at a run of white space, or before its last sign."""
+    match ends at a run of white space, or before its last sign.  A run at the text's end is one match."""
     if _INNER.search(text):
         return None
     raw = text.encode()

@@ -180,6 +180,15 @@ def test_segments_equal_the_library(session, name):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_at_the_end_equals_the_library(name):
+    own = segments.SegmentEncoder(public_tokenizers.path(name))
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    signs = ["\n", " ", "\t", "\r", "\xa0"]
+    for text in [a + b + c + d for a in ("", "x", "ab cd.", "x\n\ny") for b in ["", *signs] for c in signs for d in signs]:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files(session, odd_docs, tmp_path):
     from corpusmill.llm import token_files
 
@@ -367,7 +376,7 @@ def test_packing(session, odd_docs):
 
 
 def test_plan_covers_every_count():
-    rng = random.Random(4)
+    rng, block = random.Random(4), 1 << 16
     for capacity in (10, 64, 300):
         counts = {n: rng.randrange(1, 50) for n in rng.sample(range(1, capacity + 1), min(capacity, 40))}
         plan = packing.plan_sequences(counts, capacity, rounds=40)
