@@ -5,6 +5,7 @@ it.  The distinct pre-tokens of a batch go into a trie.  The unigram forward sco
 a node, the least cost of cutting its prefix into pieces, depends on the prefix alone,
 so it is worked out once however many pre-tokens share it; level by level, for all
 nodes of a level at once.  A pre-token's terminal node then holds its number of tokens.
+Pre-tokens of more than ``MAX_BYTES`` bytes get the same scores position by position.
 
 Costs are integers, so results do not depend on any order of additions; of equal
 costs, fewer tokens win.  A character that no piece covers costs one token per byte.
@@ -25,6 +26,9 @@ from corpusmill.llm.shingles import mix, slices
 MARK = "▁"
 SCALE = 1 << 20
 TOKEN_BITS = 20
+# In the scores of long pre-tokens, which are Python integers and have no bound.
+LONG_BITS = 32
+LONG_BLOCK = 1 << 16
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -154,6 +158,48 @@ class PrefixCounter:
         result[order] = answers
         return result
 
+    def _pieces_at(self, flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, length, cost)`` of all pieces in ``flat`` that begin before ``size``, by start."""
+        # Pieces are whole characters.
+        starts = np.flatnonzero((flat[:size] & 0xC0) != 0x80)
+        running = np.zeros(len(starts), _U)
+        found = [(np.zeros(0, np.int64),) * 3]
+        lengths = set(self.lengths)
+        with np.errstate(over="ignore"):
+            for k in range(1, self.longest + 1):
+                room = int(np.searchsorted(starts, len(flat) - k, "right"))
+                starts, running = starts[:room], running[:room] * _BASE + _BYTE[flat[starts[:room] + k - 1]]
+                if k in lengths:
+                    cost = self._cost(mix(running) | _U(1))
+                    hit = np.flatnonzero(cost)
+                    found.append((starts[hit], np.full(len(hit), k), cost[hit]))
+        start, length, cost = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], length[order], cost[order]
+
+    def count_long(self, word: bytes) -> int:
+        """Number of tokens of one byte string of any length, by blocks that hand on the scores that pieces reach into the next."""
+        flat = np.frombuffer(word, np.uint8)
+        single = (self.fallback << LONG_BITS) + 1
+        scores = [0]
+        for first in range(0, len(word), LONG_BLOCK):
+            size = min(LONG_BLOCK, len(word) - first)
+            start, length, cost = self._pieces_at(flat[first : first + size + self.longest], size)
+            bounds = np.searchsorted(start, np.arange(size), "right").tolist()
+            ends, steps = (start + length).tolist(), ((cost << LONG_BITS) + 1).tolist()
+            scores += [math.inf] * (size + self.longest + 1 - len(scores))
+            k = 0
+            for at, bound in enumerate(bounds):
+                here = scores[at]
+                if here + single < scores[at + 1]:
+                    scores[at + 1] = here + single
+                while k < bound:
+                    if here + steps[k] < scores[ends[k]]:
+                        scores[ends[k]] = here + steps[k]
+                    k += 1
+            scores = scores[size:]
+        return scores[0] & ((1 << LONG_BITS) - 1)
+
 
 _BASE = _U(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407))
@@ -195,26 +241,21 @@ def _counted(pieces: dict[str, int], name: str):
     return run
 
 
-#: Longest pre-token, in bytes, that is cut into tokens as a whole; longer runs without white space are cut there.
+#: Longest pre-token, in bytes, that goes into the trie, whose levels are its bytes; longer ones are counted one by one.
 MAX_BYTES = 2048
 
 
 def _token_counts(counter: PrefixCounter, words: list[bytes], prefix: bytes) -> list[int]:
     short = [w for w in words if len(w) <= MAX_BYTES]
     known = dict(zip(short, counter.counts([prefix + w for w in short]).tolist(), strict=True))
-    for word in words:
-        if len(word) > MAX_BYTES:
-            parts = [(prefix if k == 0 else b"") + word[k : k + MAX_BYTES] for k in range(0, len(word), MAX_BYTES)]
-            known[word] = int(counter.counts(parts).sum())
+    known.update((w, counter.count_long(prefix + w)) for w in words if len(w) > MAX_BYTES)
     return [known[w] for w in words]
 
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """``(doc_id, n_pretokens, n_distinct, n_tokens)`` of every row of ``docs``.
 
-    Null and empty texts have none.  Runs without white space of more than
-    ``MAX_BYTES`` bytes are cut into such stretches first.  Rows with repeated or null
-    ids are counted each.  Columns besides ``doc_id`` and ``text`` are ignored.  No
+    Null and empty texts have none.  Rows with repeated or null ids are counted each.  Columns besides ``doc_id`` and ``text`` are ignored.  No
     shuffle: a task counts its texts by themselves, slice by slice.
     """
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(

@@ -103,6 +103,34 @@ def test_token_counts_rows(odd_docs):
     assert token_counts.count_tokens(odd_docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_long_pre_tokens_by_brute_force():
+    costs = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    costs = {piece: cost for piece, cost in costs.items() if "▁" not in piece[1:]}
+    counter = token_counts.PrefixCounter(costs)
+    raws = {piece.encode(): cost for piece, cost in costs.items()}
+
+    def brute(word):
+        best = [(0, 0)]
+        for i in range(1, len(word) + 1):
+            ways = [(best[i - 1][0] + counter.fallback, best[i - 1][1] + 1)]
+            ways += [(best[k][0] + raws[word[k:i]], best[k][1] + 1) for k in range(max(0, i - counter.longest), i) if word[k:i] in raws]
+            best.append(min(ways))
+        return best[-1][1]
+
+    rng, block = random.Random(4), 1 << 16
+    kinds = ["日本語中文的是不了人我在有他这", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", "thereandionfunctionreturn(){};=.,", "ภาษาไทยก👍é"]
+    words = []
+    for size in (2_049, 3_000, 50_000, block + 5):
+        for kind in kinds:
+            words.append("".join(rng.choice(kind) for _ in range(size)).encode()[:size].decode(errors="ignore").encode())
+    # Lengths at the edges of the blocks; the mark has three bytes.
+    words += [(b"international" * 6_000)[: block - 3 + k] for k in (-1, 0, 1)]
+    mark = "▁".encode()
+    assert token_counts._token_counts(counter, words, mark) == [brute(mark + w) for w in words]
+    # More tokens than the 20 low bits of the trie's scores hold.
+    assert token_counts._token_counts(counter, [b"\x01" * 1_100_000], mark) == [brute(mark) + 1_100_000]
+
+
 # 2
 
 def _shingles(text):
