@@ -15,6 +15,7 @@ of its vectors and a spanning forest of its links, never the links themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ SLACK = 1e-9
 
 
 def _usable(dims: int, kind: str):
-    """Vectors of the common width that can link, as bytes of their own type; the rest are dropped."""
+    """Vectors of one width that can link, as bytes of their own type; the rest are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,24 +183,36 @@ def _compared(axes: np.ndarray, cosine: float):
 def link_embeddings(embeddings: DataFrame, cosine: float = COSINE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row with an id, by cosine of ``cosine`` or more.
 
-    Vectors that are null, zero, hold null or non-finite components, or are not as
-    wide as most, link with nothing.  Of rows that repeat an id, one counts (its
-    greatest vector).  Other columns are ignored.
+    Vectors that are null, zero, or hold null or non-finite components link with
+    nothing, the others with those of their own width: each width is a run of its own,
+    so widths should be few.  Of rows that repeat an id, one counts (its greatest
+    vector).  Other columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), "embedding").where("id IS NOT NULL").groupBy("id").agg(F.max("embedding").alias("embedding"))
     rows = land(rows, "vectors")
-    width = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+    widths = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("w")).count().where("count > 1").orderBy("w").collect()
     lone = rows.select(F.col("id").alias("vec_id"))
-    if width is None or width.w == 0:
+    if not widths:
         return lone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     kind = "f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "f8"
-    usable = land(rows.mapInArrow(_usable(width.w, kind), "id bigint, raw binary"), "usable")
+    linked = reduce(DataFrame.unionByName, [_linked(rows, width.w, kind, cosine, tile_rows) for width in widths])
+    return lone.join(linked, "vec_id", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
+    )
+
+
+def _linked(rows: DataFrame, dims: int, kind: str, cosine: float, tile_rows: int) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of the vectors of one width that can link."""
+    usable = land(rows.where(F.size("embedding") == dims).mapInArrow(_usable(dims, kind), "id bigint, raw binary"), "usable")
     # Copies: one node per distinct vector, named by its smallest id.
     nodes = land(usable.groupBy("raw").agg(F.min("id").alias("node"), F.count("*").alias("copies")).select("node", "raw", "copies"), "nodes")
     member = usable.join(nodes, "raw").select("id", "node", "copies")
-    axes = _axes(nodes, width.w)
+    axes = _axes(nodes, dims)
     tiles, n_tiles = _tiles(nodes, axes, tile_rows)
-    leading = min(LEADING[0], width.w)
+    leading = min(LEADING[0], dims)
     bounds = land(tiles.select("tile", "raws").mapInArrow(_bounds(axes, leading), "tile bigint, low array<double>, high array<double>, rest double"), "bounds")
     lots = -(-n_tiles // TILES_AT_ONCE)
     met = land(_tile_pairs(bounds, cosine, leading).withColumn("lot", F.pmod(F.xxhash64("b"), F.lit(lots))), "tile-pairs")
@@ -212,7 +225,7 @@ def link_embeddings(embeddings: DataFrame, cosine: float = COSINE, tile_rows: in
     )
     counts = compared.where("other = -1").groupBy("node").agg(F.sum("n").alias("n"))
     closed = components(compared.where("other <> -1").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    linked = (
+    return (
         member.select("id", "node", "copies")
         .join(counts, "node", "left")
         .join(closed, "node", "left")
@@ -222,12 +235,6 @@ def link_embeddings(embeddings: DataFrame, cosine: float = COSINE, tile_rows: in
             F.coalesce("component", "node").alias("component_id"),
         )
     )
-    return lone.join(linked, "vec_id", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
-    )
 
 
 def _tiles(nodes: DataFrame, axes: np.ndarray, tile_rows: int) -> tuple[DataFrame, int]:

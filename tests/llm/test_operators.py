@@ -362,6 +362,18 @@ def test_embeddings_by_brute_force(session, tile_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_embeddings_of_several_widths(session):
+    rng = np.random.default_rng(3)
+    wide, slim = rng.normal(size=8), rng.normal(size=4)
+    rows = {k: (wide + rng.normal(size=8) * 0.01).tolist() for k in range(9)}
+    # Near pairs, copies and a lone vector of rarer widths; zero vectors of another.
+    rows |= {20 + k: (slim + rng.normal(size=4) * 0.01).tolist() for k in range(3)} | {30: [1.0, 2.0], 31: [1.0, 2.0], 32: [3.0], 33: [0.0] * 3, 34: [0.0] * 3}
+    frame = session.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(frame).collect()}
+    expected = {k: (8, 0, k == 0) for k in range(9)} | {k: (2, 20, k == 20) for k in (20, 21, 22)} | {30: (1, 30, True), 31: (1, 30, False)}
+    assert got == expected | {k: (0, k, True) for k in (32, 33, 34)}
+
+
 def test_embeddings_empty(session):
     frame = session.createDataFrame([(1, None), (None, [1.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in embedding_dedup.link_embeddings(frame).collect()] == [(1, 0, 1, True)]
