@@ -33,6 +33,7 @@ EPOCHS = 12
 RATE = 4.0
 THRESHOLD = 0.7
 SEED = 7
+SCALE = 1 << 24
 
 # Shapes: upper, lower, digit and other-language letters; space; each ASCII sign for itself.
 _SHAPE = np.zeros(256, np.uint64)
@@ -44,49 +45,53 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (hashes >> _U(64 - BUCKET_BITS)).astype(np.int64) + (kind << BUCKET_BITS)
 
 
-def features(texts: list[str | None]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
-    """For each slice of texts, per kind: the bucket of every n-gram, and the first n-gram of each text and the end."""
+def features(texts: list[str | None]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each slice of texts, per kind: the bucket of every n-gram, and the first n-gram of each text and its end.
+
+    An n-gram lies within one text; a text too short for a kind has none of it.
+    """
     with np.errstate(over="ignore"):
         for _, raws in slices(texts):
             words, _, _, data, first = word_hashes(raws, lower=False)
             begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)))
-            pairs = _buckets(mix(words[:-1] * _U(3) + words[1:]), 1)
-            pairs[words[:-1] == words[1:]] = 1 << BUCKET_BITS
+            follows = np.append(words[1:], _U(0))
+            pairs = _buckets(mix(words * _U(3) + follows[: len(words)]), 1)
+            pairs[words == follows[: len(words)]] = 1 << BUCKET_BITS
             wide = np.concatenate((data, np.zeros(3, np.uint8))).astype(_U)
             fours = wide[:-3] | wide[1:-2] << _U(8) | wide[2:-1] << _U(16) | wide[3:] << _U(24)
             shape = _SHAPE[wide.astype(np.uint8)]
             threes = (shape[:-3] << _U(14)) | (shape[1:-2] << _U(7)) | shape[2:-1]
             golden = _U(0x9E3779B97F4A7C15)
-            yield (
-                [_buckets(words, 0), pairs, _buckets(mix(fours), 2), _buckets(threes * golden, 3)],
-                # A pair belongs to the text of its first word; the last word of a text opens none.
-                [first, first, begins, begins],
-            )
+            kinds = [_buckets(words, 0), pairs, _buckets(mix(fours), 2), _buckets(threes * golden, 3)]
+            # A text is followed by one byte that is not its own; its last k - 1 units open no gram of k.
+            spans = [(first, 0), (first, 1), (begins, 4), (begins, 3)]
+            yield [(ids, edge[:-1], np.maximum(edge[1:] - cut, edge[:-1])) for ids, (edge, cut) in zip(kinds, spans, strict=True)]
+
 
+def fixed_point(table: np.ndarray) -> np.ndarray:
+    """Whole multiples of 2**-24: their sums are exact, so a score is a function of its text alone."""
+    return np.rint(table * SCALE).astype(np.int64)
 
-def _means(table: np.ndarray, kinds: list[np.ndarray], firsts: list[np.ndarray]) -> np.ndarray:
-    """Average over the kinds of the averages of ``table`` over each text's n-grams."""
-    total = np.zeros(len(firsts[0]) - 1)
-    for kind, (ids, first) in enumerate(zip(kinds, firsts, strict=True)):
-        ends = first[1:] - (kind == 1)
-        ends = np.maximum(ends, first[:-1]) - (kind > 1)
-        sums = np.concatenate(([0.0], np.cumsum(table[ids])))
-        counts = ends - first[:-1]
-        total += np.where(counts > 0, (sums[ends] - sums[first[:-1]]) / np.maximum(counts, 1), 0.0)
-    return total / KINDS
+
+def _means(table: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Average over the kinds of the averages of the fixed-point ``table`` over each text's n-grams."""
+    total = np.zeros(len(kinds[0][1]))
+    for ids, begin, end in kinds:
+        sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(table[ids])))
+        total += np.where(end > begin, (sums[end] - sums[begin]) / np.maximum(end - begin, 1), 0.0)
+    return total / (KINDS * SCALE)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(key, y, ids, weights)``: a text's buckets and their share in its average, at most ``BUCKETS`` of them."""
     for batch in batches:
         held = []
-        for kinds, firsts in features(batch.column(2).to_pylist()):
-            for i in range(len(firsts[0]) - 1):
+        for kinds in features(batch.column(2).to_pylist()):
+            for i in range(len(kinds[0][1])):
                 share = np.zeros(BUCKETS)
-                for kind, (ids, first) in enumerate(zip(kinds, firsts, strict=True)):
-                    end = first[i + 1] - (kind == 1 and first[i + 1] > first[i]) - (kind > 1)
-                    if end > first[i]:
-                        share += np.bincount(ids[first[i] : end], minlength=BUCKETS) / ((end - first[i]) * KINDS)
+                for ids, begin, end in kinds:
+                    if end[i] > begin[i]:
+                        share += np.bincount(ids[begin[i] : end[i]], minlength=BUCKETS) / ((end[i] - begin[i]) * KINDS)
                 held.append(np.flatnonzero(share).astype(np.int32))
                 held.append(share[held[-1]].astype(np.float32))
         yield pa.RecordBatch.from_arrays(
@@ -135,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 
 def _scores(texts: list[str | None], table: np.ndarray, constant: float) -> np.ndarray:
-    means = [_means(table, *slice_) for slice_ in features(texts)]
+    """Probabilities of class 1, from the fixed-point ``table`` of logits per bucket."""
+    means = [_means(table, kinds) for kinds in features(texts)]
     logits = np.concatenate(means) + constant if means else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
@@ -143,12 +149,15 @@ def _scores(texts: list[str | None], table: np.ndarray, constant: float) -> np.n
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; score is the probability of quality 1.
 
-    Null and empty texts get the constant's probability.  Repeated rows are scored
-    each.  Without labels of both classes every score is the share of class 1.
-    Other columns are ignored.
+    A score is a function of the text and the trained model alone: neither the rows
+    beside it nor the partitions matter.  Null and empty texts and texts of white space
+    without a run of three signs get the constant's probability.  Repeated rows are
+    scored each, null ids as well (held out: false).  Without labels of both classes
+    every score is the share of class 1.  An empty table gives none.  Other columns are
+    ignored.
     """
     table, constant = fit(docs, labels, per_class=per_class)
-    table = table.astype(np.float32)
+    table = fixed_point(table)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +174,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of ``threshold`` or more, all their columns as they are."""
+    """The rows of ``docs`` with a score of ``threshold`` or more, all their columns as they are.
+
+    Nulls, blanks, repeated rows and missing labels count as in :func:`score_quality`.
+    """
     table, constant = fit(docs, labels, per_class=per_class)
-    table = table.astype(np.float32)
+    table = fixed_point(table)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,14 +147,20 @@ def judge_documents(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, all their columns as they are."""
-    columns = [docs.columns.index("doc_id"), docs.columns.index("text")]
-    judged = _judged(False)
+    """The rows of ``docs`` that pass, with the failing lines taken out of their texts.
+
+    All other columns are as they are.  Null and empty texts fail and go; repeated
+    rows and null ids are judged each; an empty table gives an empty one.
+    """
+    key, at = docs.columns.index("doc_id"), docs.columns.index("text")
+    judged = _judged(True)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for verdict in judged(iter([batch.select(columns)])):
-                yield batch.filter(verdict.column(7))
+            for verdict in judged(iter([batch.select([key, at])])):
+                columns = batch.columns
+                columns[at] = verdict.column(8).cast(batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(verdict.column(7))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from corpusmill.llm import (  # noqa: E402
-    embedding_dedup, huffman, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, segments, token_counts, toxicity,
+    embedding_dedup, huffman, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, segments, shingles, token_counts, toxicity,
 )
 
 SMALL, MEDIUM, LARGE = (f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1"))
@@ -328,6 +328,43 @@ def test_held_out_accuracy(session, labels, odd_docs, score, label, least):
     assert score(odd_docs.limit(0), labels).count() == 0
 
 
+def _brute_score(text, table, constant):
+    """A text's probability from single grams, each hashed by itself."""
+    raw, q = (text or "").encode(), quality_classifier
+    golden, mixed = 0x9E3779B97F4A7C15, lambda n: int(shingles.mix(np.array([n % 2**64], np.uint64))[0])
+    bucket = lambda n, kind: (n % 2**64 >> (64 - q.BUCKET_BITS)) + (kind << q.BUCKET_BITS)
+    words = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+    named = [int(shingles.word_hashes([w], lower=False)[0][0]) for w in words]
+    pairs = [1 << q.BUCKET_BITS if a == b else bucket(mixed(a * 3 + b), 1) for a, b in zip(named, named[1:])]
+    fours = [bucket(mixed(int.from_bytes(raw[i : i + 4], "little")), 2) for i in range(len(raw) - 3)]
+    shape = [int(q._SHAPE[c]) for c in raw]
+    threes = [bucket((shape[i] << 14 | shape[i + 1] << 7 | shape[i + 2]) * golden, 3) for i in range(len(raw) - 2)]
+    mean = sum(sum(int(table[i]) for i in ids) / len(ids) for ids in ([bucket(n, 0) for n in named], pairs, fours, threes) if ids)
+    return 1 / (1 + np.exp(-(mean / (q.KINDS * q.SCALE) + constant)))
+
+
+def test_quality_scores_by_brute_force(session, odd_docs):
+    rng = np.random.default_rng(8)
+    table, constant = quality_classifier.fixed_point(rng.normal(size=quality_classifier.BUCKETS)), 0.25
+    texts = [*ODD[:25], None, "abc", "xyz", *list(_texts(session, SMALL).values())[:20], "", None, "  "]
+    expected = [_brute_score(t, table, constant) for t in texts]
+    assert np.allclose(quality_classifier._scores(texts, table, constant), expected, rtol=1e-12)
+    for blank in ("", None, " \n"):
+        for beside in ([blank], [blank, "hello world"], ["hello world", blank], [blank, "x", blank]):
+            got = quality_classifier._scores(beside, table, constant)
+            assert got.tolist() == [quality_classifier._scores([t], table, constant)[0] for t in beside]
+
+
+def test_quality_scores_follow_the_text_alone(session):
+    docs = session.read.parquet(f"{SMALL}/documents.parquet").unionByName(
+        session.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, " ")], "doc_id bigint, text string"), allowMissingColumns=True
+    )
+    labels = session.read.parquet(f"{SMALL}/labels.parquet")
+    one = {r.doc_id: r.score for r in quality_classifier.score_quality(docs.orderBy(F.xxhash64("doc_id")).coalesce(1), labels).collect()}
+    many = {r.doc_id: r.score for r in quality_classifier.score_quality(docs.repartition(8, "text"), labels).collect()}
+    assert one == many and one[10**6] == one[10**6 + 1]
+
+
 def test_grammar():
     lexicon = toxicity._base_lexicon()
     weigh = lambda text: next(toxicity.clause_weights([text], lexicon))
@@ -451,23 +488,48 @@ def test_quotes_by_sql(session):
 
 # pipeline
 
+def _pipeline_by_brute_force(session, docs, folder):
+    """Texts by id after each stage but the last, from the operators' rows and from brute force."""
+    labels = session.read.parquet(f"{folder}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id: texts[r.doc_id] for r in quality_classifier.score_quality(docs, labels).where("predicted = 1").collect()}
+    judged = {r.doc_id: r.clean_text for r in quality_rules.judge_documents(docs).where("kept").collect()}
+    clean = {i: judged[i] for i in good if i in judged}
+    return [good, clean, {i: clean[i] for i, (_, root) in _brute_components(clean).items() if i == root}]
+
+
 def test_pipeline_by_brute_force(session):
     docs = session.read.parquet(f"{SMALL}/documents.parquet")
-    texts = _texts(session, SMALL)
-    good = {r.doc_id for r in quality_classifier.score_quality(docs, session.read.parquet(f"{SMALL}/labels.parquet")).where("predicted = 1").collect()}
-    clean = {r.doc_id for r in quality_rules.judge_documents(docs).where("kept").collect()} & good
-    heads = {i for i, (_, root) in _brute_components({i: texts[i] for i in clean}).items() if i == root}
     stage, frames = docs, []
     for _, step in corpus_pipeline.STAGES[:-1]:
         stage = step(session, stage, SMALL)
         assert stage.columns == docs.columns
-        frames.append({r.doc_id for r in stage.collect()})
-    assert frames == [good, clean, heads]
-    used, bound = _check_packing(corpus_pipeline.run(session, SMALL).collect(), {i: texts[i] for i in heads}, 2048)
+        rows = stage.collect()
+        frames.append({r.doc_id: r.text for r in rows})
+        assert all(r.n_chars == len(r.text) for r in rows) or not frames[1:]
+    expected = _pipeline_by_brute_force(session, docs, SMALL)
+    assert frames == expected and any(text != expected[0][i] for i, text in expected[1].items())
+    used, bound = _check_packing(corpus_pipeline.run(session, SMALL).collect(), expected[-1], 2048)
     assert bound <= used <= bound + 2
 
 
 def test_pipeline_keeps_odd_rows_whole(session, odd_docs):
+    """Odd rows beside good ones: nulls, blanks, a text of 3000 words, repeats, rows without an id."""
+    good = [t for t in _texts(session, SMALL).values() if len(t.split()) > 80][:20]
+    extra = session.createDataFrame([(1000 + i, t) for i, t in enumerate(good)] + [(1000, good[0]), (None, good[1])], "doc_id bigint, text string")
+    docs = odd_docs.unionByName(extra, allowMissingColumns=True)
+    stage = docs
     for name, step in corpus_pipeline.STAGES[:-1]:
-        assert step(session, odd_docs, SMALL).columns == odd_docs.columns, name
         assert step(session, odd_docs.limit(0), SMALL).count() == 0
+        before = Counter((r.doc_id, r.lang) for r in stage.collect())
+        stage = step(session, stage, SMALL)
+        rows = stage.collect()
+        assert stage.columns == docs.columns, name
+        after = Counter((r.doc_id, r.lang) for r in rows)
+        assert after <= before, name
+    # Both rows of the repeated id share the verdict; the row without an id stays in every stage that its text passes.
+    kept = Counter(r.doc_id for r in rows)
+    passes = {r.doc_id for r in quality_rules.judge_documents(docs).where("kept").collect()}
+    assert set(kept) <= passes and kept.get(1000, 2) == 2
+    pieces_ = corpus_pipeline.STAGES[-1][1](session, stage, SMALL).collect()
+    assert {r.doc_id for r in pieces_} == set(kept)
