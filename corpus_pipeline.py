@@ -21,27 +21,36 @@ from corpusmill.llm.quality_rules import keep_documents
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of ``sf_dir``, takes for good."""
+    """Documents that the classifier, trained on the labels of ``sf_dir``, takes for good.
+
+    Null and empty texts are judged by the share of good documents alone.
+    """
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line and base rules; their texts stay as they are."""
-    return keep_documents(docs)
+    """Documents that pass the line and base rules, without their failing lines; ``n_chars`` follows the text.
+
+    Null and empty texts fail.
+    """
+    kept = keep_documents(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents, the one with the smallest id.
 
     Documents without an id belong to no component and stay; rows that repeat an id
-    share its verdict.
+    share its verdict.  Empty texts link with nothing and stay.
     """
     others = ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens; a null text is empty."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
