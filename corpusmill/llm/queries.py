@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, token_counts, token_files, toxicity
+from corpusmill.llm import (
+    embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, secret_scan, token_counts, token_files, toxicity,
+)
 from corpusmill.llm.landing import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +61,10 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.find_secrets(_documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_join": op2_ngram_join,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_quotes": op10_chat_quotes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +84,5 @@ ORACLES: dict[str, str] = {
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL.replace("{table}", "documents"),
     "op10_chat_quotes": quotes.SQL,
+    "op13_secret_scan": secret_scan.SQL,
 }
