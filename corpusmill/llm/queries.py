@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import (
-    embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, secret_scan, token_counts, token_files, toxicity,
+    embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, role_repair, secret_scan, token_counts,
+    token_files, toxicity,
 )
 from corpusmill.llm.landing import new_path
 
@@ -61,6 +62,10 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(secret_scan.find_secrets(_documents(spark, sf_dir)))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_quotes": op10_chat_quotes,
+    "op12_role_repair": op12_role_repair,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -84,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL.replace("{table}", "documents"),
     "op10_chat_quotes": quotes.SQL,
+    "op12_role_repair": role_repair.SQL,
     "op13_secret_scan": secret_scan.SQL,
 }
