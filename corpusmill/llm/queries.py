@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import (
-    embedding_dedup, ngram_join, packing, pieces, quality_classifier, quality_rules, quotes, role_repair, secret_scan, token_counts,
-    token_files, toxicity,
+    embedding_dedup, ngram_join, packing, periodic_runs, pieces, quality_classifier, quality_rules, quotes, role_repair, secret_scan,
+    token_counts, token_files, toxicity,
 )
 from corpusmill.llm.landing import new_path
 
@@ -62,6 +62,10 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_documents(spark, sf_dir))
+
+
 def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_quotes": op10_chat_quotes,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_role_repair": op12_role_repair,
     "op13_secret_scan": op13_secret_scan,
 }
