@@ -211,7 +211,8 @@ class PieceModel:
     def encode(self, text: str | None) -> tuple[str, int, str, np.ndarray]:
         """Ids as decimal text, their number, the decoded text, and the end byte of every piece."""
         text = text or ""
-        if not self.by_words:
+        # A mark in the text itself may join what spaces around it become, so cuts at spaces are not safe.
+        if not self.by_words or MARK in text:
             ids, ends = self._encode(text)
             return ",".join(map(str, ids)), len(ids), self.library.decode(ids) if ids else "", ends
         words = self.words(text)

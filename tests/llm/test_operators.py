@@ -253,6 +253,18 @@ def test_pieces_equal_the_library(session):
         assert not len(ends) or ends[-1] == len(text.encode())
 
 
+def test_marks_in_the_text_equal_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    texts = ["▁ ", " ▁", "▁", "▁▁ a", "a ▁ b"] + ["".join(rng.choices(["▁", " ", "a", "the", "é", "\n", "日"], k=rng.randrange(12))) for _ in range(4000)]
+    for text in texts:
+        ids, n, decoded, ends = own.encode(text)
+        expected = library.encode(text)
+        assert (ids, n, decoded) == (",".join(map(str, expected)), len(expected), library.decode(expected)), repr(text)
+        assert len(ends) == n and (not n or ends[-1] == len(text.encode()))
+
+
 def test_character_map():
     """Longest prefix through a hand-made double array: keys ``a`` to ``x`` and ``ab`` to ``yz``."""
     # Root at 0 with offset 256; a child's unit is at parent offset XOR label, a value at node offset XOR 0.
