@@ -4,7 +4,8 @@ Words become symbols: insult, threat, target, negation, report, other.  Four sma
 transducers rewrite a clause's symbols from left to right, each with a weight per
 step: negation weakens insults and threats in its scope, reported speech weakens
 those after a word of saying, a target near an insult or after a threat strengthens
-it, and the last one sums what is left.  They are composed into one automaton, and
+it (a target before a word of saying is who speaks and strengthens nothing), and the
+last one sums what is left.  They are composed into one automaton, and
 only clauses that hold an insult or threat are run through it.  A document's score is
 a logistic of its clauses' weights.
 
@@ -97,13 +98,18 @@ def _negation(state: int, symbol: int) -> tuple[int, int, float]:
 def _reported(state: int, symbol: int) -> tuple[int, int, float]:
     """A word of saying reaches over the next five words."""
     if symbol == REPORT:
-        return 5, OTHER, 0.0
+        return 5, REPORT, 0.0
     weaker = -0.3 if state and symbol in (INSULT, THREAT) else 0.0
     return max(0, state - 1), symbol, weaker
 
 
 def _target(state: int, symbol: int) -> tuple[int, int, float]:
-    """States: 0 nothing, 1 to 3 a target so many words ago, 4 to 6 a threat that awaits its target."""
+    """States: 0 nothing, 1 to 3 a target so many words ago, 4 to 6 a threat that awaits its target.
+
+    A word of saying ends both: what stands before it is not aimed by what follows.
+    """
+    if symbol == REPORT:
+        return 0, OTHER, 0.0
     if symbol == TARGET:
         return 3, OTHER, (0.8 if state >= 4 else 0.0)
     if symbol == INSULT:
