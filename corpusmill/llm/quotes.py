@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 from corpusmill.llm.landing import land
 
 _QUOTE = r"^(?:[ \t]*>)+"
-MIN_CHARS = 3
 
 
 def _level(line: Column) -> Column:
@@ -35,10 +34,10 @@ def _normal(line: Column) -> Column:
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, level, hash)``: each distinct line with its quote level; lines of fewer than ``MIN_CHARS`` are no evidence."""
+    """``(conv_id, turn, level, hash)``: each distinct line with its quote level; lines without a sign are no evidence."""
     lines = messages.select("conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     told = lines.select("conv_id", "turn", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("said"))
-    return told.where(F.length("said") >= MIN_CHARS).select("conv_id", "turn", "level", F.sha2("said", 256).alias("hash")).distinct()
+    return told.where(F.col("said") != "").select("conv_id", "turn", "level", F.sha2("said", 256).alias("hash")).distinct()
 
 
 def answered(messages: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ WITH RECURSIVE messages AS (
          trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '[ \t\r\x0b\f]+', ' ', 'g')) AS said
   FROM lines
 ), evidence AS (
-  SELECT * FROM told WHERE length(said) >= 3
+  SELECT * FROM told WHERE said <> ''
 ), sources AS (
   SELECT q.conv_id, q.turn, q.level, q.said, max(o.turn) AS source
   FROM evidence q LEFT JOIN evidence o
