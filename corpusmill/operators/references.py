@@ -9,6 +9,10 @@ the prefixes of the text after its ``import ``/``from `` mentions that have the
 length of some stem.  Counting equal prefixes gives the number of files that
 mention a stem; a file's mention of itself is taken off row-locally.  No pair of
 files is ever built, so a stem shared by very many files costs no more.
+
+Most prefixes are no stem of their repository.  A Bloom filter of all (repository, stem)
+digests, built once and of a fixed size, tells so in the task that read the text: only
+prefixes that may be stems are shuffled.
 """
 
 from __future__ import annotations
@@ -48,8 +52,39 @@ def _prefixes_after(content: Column, keyword: str, limits: Column) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
-def stem_mentions(files: DataFrame) -> DataFrame:
-    """``(repo, stem, mentions)`` for every stem that is mentioned at all."""
+# Words of 64 bits of the filter; its broadcast has a row of 16 bytes for each at most.
+FILTER_WORDS = 1 << 20
+
+
+def _probe() -> tuple[Column, Column]:
+    """Word and bits of a row's ``(repo, stem)`` in the filter: three bits of one word."""
+    digest = F.xxhash64("repo", "stem")
+    one = F.lit(1).cast("bigint")
+    bits = [F.call_function("shiftleft", one, (F.shiftrightunsigned(digest, 20 + 6 * k).bitwiseAND(63)).cast("int")) for k in range(3)]
+    return F.pmod(digest, F.lit(FILTER_WORDS)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def stem_filter(files: DataFrame) -> DataFrame:
+    """Bloom filter of the stems of all repositories: ``(word, bits)``, at most ``FILTER_WORDS`` rows."""
+    word, bits = _probe()
+    return (
+        files.select("repo", paths.stem(F.col("path")).alias("stem"))
+        .select(word.alias("word"), bits.alias("bits"))
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+
+
+def likely_mentions(files: DataFrame) -> DataFrame:
+    """``(repo, stem)``, a row per file and prefix that may be a stem of its repository: all true ones and few others."""
+    word, bits = _probe()
+    probed = listed_mentions(files).select("repo", "stem", word.alias("word"), bits.alias("needed"))
+    passing = probed.join(F.broadcast(stem_filter(files)), "word").where(F.col("bits").bitwiseAND(F.col("needed")) == F.col("needed"))
+    return passing.select("repo", "stem")
+
+
+def listed_mentions(files: DataFrame) -> DataFrame:
+    """``(repo, stem)``, a row per file and distinct prefix after a keyword, of the lengths that stems have."""
     stem = paths.stem(F.col("path"))
     content = F.col("content")
     # One row, worked out once and handed to the tasks as a constant.
@@ -58,7 +93,7 @@ def stem_mentions(files: DataFrame) -> DataFrame:
         "repo", "content", lengths.alias("lengths")
     )
     quoted = F.when(content.contains("import "), _prefixes_after(content, "from '", F.col("lengths")))
-    mentions = sized.select(
+    return sized.select(
         "repo",
         F.explode(
             F.concat(
@@ -66,11 +101,14 @@ def stem_mentions(files: DataFrame) -> DataFrame:
                 F.coalesce(quoted, F.array().cast("array<string>")),
             )
         ).alias("stem"),
-        F.lit(1).cast("bigint").alias("mentions"),
-        F.lit(0).alias("named"),
     )
+
+
+def stem_mentions(files: DataFrame) -> DataFrame:
+    """``(repo, stem, mentions)`` for every stem that is mentioned at all."""
+    mentions = likely_mentions(files).select("repo", "stem", F.lit(1).cast("bigint").alias("mentions"), F.lit(0).alias("named"))
     stems = files.select(
-        "repo", stem.alias("stem"), F.lit(0).cast("bigint").alias("mentions"), F.lit(1).alias("named")
+        "repo", paths.stem(F.col("path")).alias("stem"), F.lit(0).cast("bigint").alias("mentions"), F.lit(1).alias("named")
     )
     return (
         mentions.unionByName(stems)

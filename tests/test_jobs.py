@@ -254,6 +254,40 @@ def test_one_hot_key_everywhere(corpus):
     assert reduced.count() == 16
 
 
+def test_only_likely_stems_are_shuffled(corpus):
+    """Prefixes that are no stem of the repository stay in the task that read the text."""
+    rows = [("r", f"src/mod_{i}.py", "\n".join([f"import mod_{(i + 1) % 300}", *(f"from lib{i}_{k} import thing{k}" for k in range(20))])) for i in range(300)]
+    rows += [("s", f"src/mod_{i}x.py", "import mod_1\nfrom lib3_4 import y") for i in range(50)]
+    files = corpus(*rows)
+    listed, likely = references.listed_mentions(files), references.likely_mentions(files)
+    stems = {(r, p.rsplit("/", 1)[-1][:-3]) for r, p, _ in rows}
+    true = sorted((m.repo, m.stem) for m in listed.collect() if (m.repo, m.stem) in stems)
+    passed = [(m.repo, m.stem) for m in likely.collect()]
+    assert sorted(m for m in passed if m in stems) == true
+    assert len(passed) <= len(true) + listed.count() // 1000 and listed.count() > 15 * len(true)
+
+
+def test_a_full_filter_changes_nothing(corpus, monkeypatch):
+    rows = [("r", f"m{i}.py", f"import m{i * 7 % 40}\nfrom m{i % 11}") for i in range(40)]
+    expected = sorted(map(tuple, references.reference_count(corpus(*rows)).collect()))
+    monkeypatch.setattr(references, "FILTER_WORDS", 1)
+    assert sorted(map(tuple, references.reference_count(corpus(*rows)).collect())) == expected
+
+
+def test_attach_copies_hot_keys_only(spark):
+    from corpusmill.functions.joins import attach, hot_keys
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.lit("r").alias("repo"), "id")
+    lookup = rows.select("repo", "k").distinct().withColumn("v", F.col("k") * 2)
+    hot = spark.range(1).select(hot_keys(rows, ["repo", "k"], 12).alias("hot")).first().hot
+    assert list(hot.values()) == [4]
+    joined = attach(rows, lookup, ["repo", "k"], ["id"], slots=12)
+    assert joined.where("v = 2 * k").count() == 6000 == joined.count()
+    assert "Generate explode(sequence(0" in joined._jdf.queryExecution().optimizedPlan().toString()
+    empty = attach(rows.limit(0), lookup, ["repo", "k"], ["id"])
+    assert empty.count() == 0
+
+
 def test_meet_gives_the_same_beyond_its_limit(corpus):
     from corpusmill.functions.joins import meet
 
