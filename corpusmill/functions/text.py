@@ -110,3 +110,32 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
         return F.when(whole.rlike(pattern), rebuilt).otherwise(whole)
 
     return let(text, rebuild)
+
+
+# Stands for a character within a text while matches are looked for; no text should hold it.
+STAND_IN = "\uffff"
+
+_BLOCK = 256
+
+
+def running_sums(steps: Column) -> Column:
+    """Inclusive prefix sums of an array of numbers, block by block, so that the work stays in proportion."""
+    zero = F.array(F.lit(0).cast("bigint"))
+
+    def grow(sums: Column, x: Column) -> Column:
+        return F.concat(sums, F.array(F.element_at(sums, -1) + x))
+
+    def join(blocks: Column) -> Column:
+        before = F.aggregate(blocks, zero, lambda sums, block: grow(sums, F.element_at(block, -1)))
+        shifted = F.zip_with(
+            blocks, F.slice(before, F.lit(1), F.size(blocks)),
+            lambda block, base: F.transform(F.slice(block, 2, _BLOCK), lambda x: x + base),
+        )
+        return F.flatten(shifted)
+
+    def all_of(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, grow))
+        return let(blocks, join)
+
+    return let(steps, lambda values: F.when(F.size(values) > 0, all_of(values)).otherwise(F.array().cast("array<bigint>")))

@@ -77,14 +77,75 @@ def closed_part(content: Column, closing: str, work: Callable[[Column], Column])
     return text.let(content, lambda t: text.let(F.substring_index(t, closing, -1), lambda rest: both(t, rest)))
 
 
+_NAME = "[A-Z][a-zA-Z0-9]*"
+_LEAST_CHILDREN = 100
+
+
+def mark_unclosed(content: Column) -> Column:
+    """Openings of elements that no closing tag of their name follows far enough on get a stand-in for ``<``.
+
+    The last closing tag of every name is looked up, so no opening is searched to the
+    end of the text in vain.  A shorter name that an opening begins with counts as well.
+    """
+
+    def rebuild(t: Column, names: Column, segments: Column) -> Column:
+        size = F.transform(names, lambda name: F.length(name) + 3)
+        gaps = F.slice(F.split(t, f"</{_NAME}>", -1), F.lit(1), F.size(names))
+        ends = text.running_sums(F.zip_with(gaps, size, lambda gap, n: (F.length(gap) + n).cast("bigint")))
+        tags = F.array_sort(F.zip_with(names, ends, lambda name, end: F.struct(name.alias("name"), (end - F.length(name) - 3).alias("at"))))
+
+        def lasts(sorted_tags: Column) -> Column:
+            def is_last(tag: Column, i: Column) -> Column:
+                after = F.get(sorted_tags, i + 1)["name"]
+                return after.isNull() | (after != tag["name"])
+
+            return F.map_from_entries(F.filter(sorted_tags, is_last))
+
+        longest = F.coalesce(F.array_max(F.transform(names, F.length)), F.lit(0))
+        stops = text.running_sums(F.transform(segments, lambda part: (F.length(part) + 1).cast("bigint")))
+
+        def mark(segment: Column, stop: Column, last: Column) -> Column:
+            def kept(hit: Column) -> Column:
+                most = F.least(F.length(hit) - 1, longest)
+                closed = F.exists(
+                    F.when(most > 0, F.sequence(F.lit(1), most)),
+                    # The sign > stands at stop - 1.
+                    lambda n: F.coalesce(F.try_element_at(last, F.substr(hit, F.lit(2), n)) >= stop + _LEAST_CHILDREN, F.lit(False)),
+                )
+                return F.when(closed, hit).otherwise(F.concat(F.lit(text.STAND_IN), F.substr(hit, F.lit(2), F.length(hit))))
+
+            return F.when(segment.rlike("<[A-Z]"), text.rewrite_matches(segment, f"<{_NAME}", kept)).otherwise(segment)
+
+        def with_lasts(last: Column) -> Column:
+            return F.array_join(F.zip_with(segments, stops, lambda segment, stop: mark(segment, stop, last)), ">")
+
+        return text.let(text.let(tags, lasts), with_lasts)
+
+    return text.let(
+        content,
+        lambda t: text.let(text.find_all(t, f"</({_NAME})>", 1), lambda names: text.let(F.split(t, ">", -1), lambda parts: rebuild(t, names, parts))),
+    )
+
+
+def prepared(content: Column, name: str) -> Column:
+    """The text in which the rule is looked for."""
+    if RULES[name].closing != "</":
+        return content
+    marked = text.let(content, lambda t: F.when(t.contains(text.STAND_IN) | ~t.rlike("<[A-Z]"), t).otherwise(mark_unclosed(t)))
+    return F.when(content.contains("</"), marked).otherwise(content)
+
+
 def apply_rule(content: Column, name: str) -> Column:
     rule = RULES[name]
     if not rule.closing:
         return F.regexp_replace(content, rule.pattern, rule.replacement)
     if rule.closing == "</":  # the name of the element follows
-        return closed_part(
-            content, ">", lambda t: F.when(t.contains("</"), F.regexp_replace(t, rule.pattern, rule.replacement)).otherwise(t)
-        )
+
+        def replaced(t: Column) -> Column:
+            done = F.regexp_replace(prepared(t, name), rule.pattern, rule.replacement)
+            return F.when(t.contains(text.STAND_IN), done).otherwise(F.replace(done, F.lit(text.STAND_IN), F.lit("<")))
+
+        return closed_part(content, ">", lambda t: F.when(t.contains("</"), text.let(t, replaced)).otherwise(t))
     return closed_part(content, rule.closing, lambda t: F.regexp_replace(t, rule.pattern, rule.replacement))
 
 
@@ -224,21 +285,38 @@ def trim_items(content: Column, tag: str, what: str) -> Column:
     """Pages with more than five such items: in each run of five or more adjacent
     ones keep two and a comment with the number of the others on the page.
 
-    The items past the fifth are taken possessively, so a run of any length needs
-    no recursion; the match is the same.
+    A run needs four places at which an item follows another one, so what opens behind the
+    fourth last of them begins none: such openings stand for text while runs are
+    looked for, and the search never runs to the end of the page in vain.
     """
     item = _item(tag)
     gap = rf"[{text.SPACE}]*"
     run = rf"({item})({gap}{item})(?:{gap}{item}){{3}}(?:{gap}{item})*+"
+    meeting = rf"(?<=</{tag}>)(?={gap}+<{tag}\b[^>]*>)"
+    least = 4
 
-    def trim(page: Column) -> Column:
-        n_items = text.count_of(page, item)
+    def trim(page: Column, parts: Column) -> Column:
         note = F.concat(
-            F.lit("$1$2\n<!-- ... and "), (n_items - 2).cast("string"), F.lit(f" more {what} ... -->")
+            F.lit("$1$2\n<!-- ... and "), (text.count_of(page, item) - 2).cast("string"), F.lit(f" more {what} ... -->")
+        )
+        # All openings of a late part but the one that it begins with.
+        def late_part(part: Column) -> Column:
+            head = F.regexp_extract(part, rf"\A[{text.SPACE}]*+<", 0)
+            rest = F.substr(part, F.length(head) + 1, F.length(part))
+            return F.concat(head, F.regexp_replace(rest, rf"<(?={tag}\b)", text.STAND_IN))
+
+        late = F.transform(F.slice(parts, -least, least), late_part)
+        early = F.slice(parts, F.lit(1), F.size(parts) - least)
+        marked = F.array_join(F.concat(early, late), "")
+        trimmed = F.replace(F.regexp_replace(marked, F.lit(run), note), F.lit(text.STAND_IN), F.lit("<"))
+        plain = F.regexp_replace(page, F.lit(run), note)
+        return (
+            F.when((F.size(parts) <= least) | (text.count_of(page, item) <= 5), page)
+            .when(page.contains(text.STAND_IN), plain)
+            .otherwise(trimmed)
         )
-        return F.when(n_items > 5, F.regexp_replace(page, F.lit(run), note)).otherwise(page)
 
-    return closed_part(content, f"</{tag}>", lambda t: text.let(t, trim))
+    return closed_part(content, f"</{tag}>", lambda t: text.let(t, lambda page: text.let(F.split(page, meeting, -1), lambda parts: trim(page, parts))))
 
 
 def html(content: Column, level: Level) -> Column:
@@ -320,7 +398,7 @@ def rule_effects(files: DataFrame, names: list[str] | None = None) -> DataFrame:
             applies,
             F.struct(
                 F.lit(rule.name).alias("rule"),
-                text.count_of(content, rule.pattern).cast("bigint").alias("hits"),
+                text.count_of(prepared(content, rule.name), rule.pattern).cast("bigint").alias("hits"),
                 (F.length(content) - F.length(apply_rule(content, rule.name))).cast("bigint").alias("saved"),
             ),
         )

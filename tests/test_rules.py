@@ -1,5 +1,9 @@
 """Reduction rules on small texts, with the result worked out by hand."""
 
+import random
+import re
+import time
+
 import pytest
 
 from corpusmill import settings
@@ -245,3 +249,41 @@ def test_json_samples_keep_numbers(apply):
     assert apply(heavy, "[1.50, 2, 3, 4]").endswith("First item:\n1.5")
     record = "{" + ", ".join(f'"k{i}": {i}.0' for i in range(6)) + "}"
     assert apply(heavy, record).endswith('\n{"k0":0.0,"k1":1.0,"k2":2.0}')
+
+
+def test_elements_by_the_plain_pattern(apply):
+    """Random tags, some without their own end, against the pattern on the whole text."""
+    rng = random.Random(8)
+    plain = re.compile(rules.RULES["jsx_element"].pattern)
+    bits = ["<Foo ", "<Fo ", "<Bar", "<F", ">", "</Foo>", "</Fo>", "</Bar>", "</F>", "p" * 30, "p" * 60, "t" * 60, "t" * 110, "\n", "é", "</", "<", "a>b", "\uffff"]
+    texts = ["".join(rng.choices(bits, [3, 3, 3, 2, 5, 3, 3, 3, 2, 5, 6, 4, 6, 1, 1, 1, 1, 1, rng.random() < 0.1], k=rng.randrange(40))) for _ in range(400)]
+    texts.append("<Foo " + "p" * 60 + ">" + "t" * 99 + "</Foo>")
+    got = apply(lambda t: rules.apply_rule(t, "jsx_element"), *texts)
+    expected = [plain.sub(r"<\1 /* props */ >/* complex component content */</\1>", t) for t in texts]
+    assert got == expected and sum(e != t for e, t in zip(expected, texts)) > 60
+
+
+def test_item_runs_by_the_plain_pattern(apply):
+    rng = random.Random(9)
+    item = rules._item("li")
+    run = re.compile(rf"({item})(\s*{item})(\s*{item}){{3,}}")
+    bits = ["<li>a</li>", "<li class='x'>b</li>", "<li>", "</li>", " \n", "text", "<li", ">", "<lip>", "é"]
+    texts = ["".join(rng.choices(bits, [9, 4, 1, 1, 3, rng.choice([0, 1, 4]), rng.random() < 0.2, 1, 1, 1], k=rng.randrange(30))) for _ in range(400)]
+    got = apply(lambda t: rules.trim_items(t, "li", "list items"), *texts)
+    expected = []
+    for t in texts:
+        n = len(re.findall(item, t))
+        expected.append(run.sub(rf"\1\2\n<!-- ... and {n - 2} more list items ... -->", t) if n > 5 else t)
+    assert got == expected and sum(e != t for e, t in zip(expected, texts)) > 60
+
+
+def test_unclosed_elements_and_parted_items_take_linear_time(apply):
+    """Twenty thousand elements without their own end, and two hundred thousand items with text between, in seconds."""
+    open_ = ("<Foo " + "p" * 60 + ">" + "t" * 110 + "</Bar>") * 20_000
+    parted = "<li>a</li>x" * 200_000
+    mixed = parted + "<li>b</li>" * 7 + "x<li>c</li>" * 100_000
+    start = time.monotonic()
+    assert apply(lambda t: rules.apply_rule(t, "jsx_element"), open_) == open_
+    assert apply(lambda t: rules.trim_items(t, "li", "list items"), parted) == parted
+    assert apply(lambda t: rules.trim_items(t, "li", "list items"), mixed).count("<!-- ... and 300005 more") == 1
+    assert time.monotonic() - start < 60
