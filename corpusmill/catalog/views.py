@@ -154,9 +154,10 @@ def css_sql(d) -> str:
 
 
 def script_sql(d) -> str:
-    """Every document as a script."""
+    """Every document as a script; some of its sentences are elements, of which some share a name or its beginning."""
     sentences = d.sub("text", r"\. ", ".\n")
-    return f"""SELECT source AS repo, doc_id AS ord, concat(lang, '/doc_', doc_id, '.js') AS path, {_script(d, "'\"'")} AS content
+    body = d.sub(_script(d, "'\"'"), "^(S[a-z]*) (.*)$", '<<1> title="<2>">\n<2>\n  <2>\n</<1>>')
+    return f"""SELECT source AS repo, doc_id AS ord, concat(lang, '/doc_', doc_id, '.js') AS path, {body} AS content
     FROM (SELECT doc_id, source, lang, {sentences} AS sentences FROM documents)"""
 
 
