@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,8 @@ from corpusmill.operators import (
     tree,
 )
 from corpusmill.plans import analysis, reduction, report
-from corpusmill.sources import report_text, tables
+from corpusmill.session import shared_folder
+from corpusmill.sources import report_text, sinks, tables
 
 DEFAULT, LIGHT, MEDIUM, HEAVY, HEAVY_ALL = (settings.LEVELS[name] for name in ("default", "light", "medium", "heavy", "heavy_all"))
 
@@ -154,6 +156,21 @@ def _document_reports(files: DataFrame) -> DataFrame:
     )
 
 
+def _report_files(level: settings.Level) -> Query:
+    """One report per source, written by the sink to the shared folder, then read back from its part files and reduced.
+
+    Rows without their number, which depends on how the files were split.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, _ = report.corpus_report(views.load(spark, sf_dir, "seeded"))
+        folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+        sinks.write_reports(rows, folder)
+        return reduction.reduce_report_files(spark, folder, level).select("repo", "section", "text")
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "readme_pick": _over("code", _readme_of),
@@ -243,4 +260,6 @@ QUERIES: dict[str, Query] = {
     "corpus_reduce_default": _over("seeded", lambda f: reduction.reduce_corpus(f, DEFAULT)),
     "report_reduce": _over("seeded", lambda f: reduction.reduce_reports(_document_reports(f), MEDIUM)),
     "report_reduce_heavy": _over("seeded", lambda f: reduction.reduce_reports(_document_reports(f), HEAVY)),
+    "report_files_reduce": _report_files(MEDIUM),
+    "report_files_reduce_heavy": _report_files(HEAVY),
 }

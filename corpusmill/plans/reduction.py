@@ -9,7 +9,7 @@ from corpusmill import settings
 from corpusmill.functions.joins import meet
 from corpusmill.operators import duplicates, ranking, reduce
 from corpusmill.plans.analysis import file_stats, repo_summary
-from corpusmill.plans.report import rewritten_report_rows
+from corpusmill.plans.report import rescanned_report_rows, rewritten_report_rows
 from corpusmill.settings import Level
 from corpusmill.sources import report_text
 
@@ -49,11 +49,15 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
 
 
 def reduce_report_files(spark: SparkSession, path: str, level: Level) -> DataFrame:
-    """The files in finished report files of any size, reduced: ``(repo, path, ord, content)``.
+    """Finished report files of any size to the rows of their reduced form.
 
-    Reports are split at their blocks over many tasks and never held as a whole.
+    Reports are split over many tasks and never held as a whole, nor are their sections.
     """
-    return reduce_corpus(report_text.read_report_blocks(spark, path), level)
+    scanned = report_text.scan_reports(spark, path)
+    stats = file_stats(scanned.files)
+    return rescanned_report_rows(
+        scanned.reports, scanned.sections, reduce_corpus(scanned.files, level, stats), repo_summary(scanned.files, stats, level)
+    )
 
 
 def reduce_reports(reports: DataFrame, level: Level) -> DataFrame:

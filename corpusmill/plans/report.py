@@ -93,6 +93,16 @@ def rewritten_report_rows(sections: DataFrame, reduced: DataFrame, summary: Data
     )
 
 
+def rescanned_report_rows(reports: DataFrame, sections: DataFrame, reduced: DataFrame, summary: DataFrame) -> DataFrame:
+    """The same from sections that are rows themselves; a section that a report lacks is an empty line."""
+    wanted = reports.withColumn("section", F.explode(F.array(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    missing = wanted.join(sections.select("repo", "section").distinct(), ["repo", "section"], "left_anti")
+    rows = rewritten_report_rows(reports.withColumns({"readme": F.lit(""), "structure": F.lit("")}), reduced, summary)
+    placeholders = rows.where(F.col("section").isin(0, 2)).join(missing, ["repo", "section"], "left_semi")
+    found = sections.select("repo", "section", F.lit("").alias("sort_key"), "ord", "text")
+    return rows.where(~F.col("section").isin(0, 2)).unionByName(placeholders).unionByName(found)
+
+
 def report_bytes(rows: DataFrame) -> DataFrame:
     """Size of each report as written."""
     return rows.groupBy("repo").agg((F.sum(F.octet_length("text") + 1)).cast("bigint").alias("n_bytes"))

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import pytest
 
@@ -149,3 +150,40 @@ def test_reduced_report(spark, corpus, tmp_path):
     names = sinks.report_names(roots, level="heavy").orderBy("repo").collect()
     assert [n.report for n in names] == ["r_analysis_compressed_heavy", "s_analysis_compressed_heavy"]
     assert sinks.report_names(roots.limit(1), "one").first().report == "one"
+
+
+def _whole_form(spark, texts, level):
+    """Rows of the reduced reports from texts held whole, with files numbered in order."""
+    reports = spark.createDataFrame(list(texts.items()), "repo string, text string")
+    return reduction.reduce_reports(reports, level).select("repo", "section", "text", "ord")
+
+
+@pytest.mark.parametrize("level", ["heavy"])
+def test_report_files_over_many_splits(spark, tmp_path, level):
+    """Reports in one file and in part files, cut into splits of a few hundred bytes, against their whole form."""
+    rng = random.Random(21)
+    body = lambda i: "\n".join(f"line {i} {k} {rng.choice(['shared text of some length, which repeats ' * 2, 'own'])}" for k in range(rng.randrange(60)))
+    block = lambda i: f"File: src/f{i % 37}.{'py' if i % 2 else 'txt'}\nContent:\n{body(i)}\n\n"
+    whole = "README:\n  About\n\nFile: not a block\n\nStructure:\nr/\n    src/\n\nFile: listed\n\nFile Contents:\n" + "".join(block(i) for i in range(45))
+    parts = ["README:\nParts\n\nStructure:\np/\n", "    a/\n    b/\n\nFile Contents:\n" + block(1), block(2) + block(3) + "File: broken\nno content\n\n", block(1) + "File Contents: Structure: README:\n"]
+    plain = {"no_sections.txt": "File: x\nContent:\ny\n\nFile: z\nContent:\n", "no_files.txt": "README: only\n\nFile: a", "whole.txt": whole, "empty_parts.txt": "README:\nStructure:\nFile Contents:"}
+    folder = tmp_path / "reports"
+    folder.mkdir()
+    for name, content in plain.items():
+        (folder / name).write_text(content)
+    parted = tmp_path / "parted" / "report=many"
+    parted.mkdir(parents=True)
+    for i, content in enumerate(parts):
+        (parted / f"part-{i:05d}.txt").write_text(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        for path, texts in ((folder, {n.removesuffix(".txt"): t for n, t in plain.items()}), (tmp_path / "parted", {"many": "".join(parts)})):
+            got = reduction.reduce_report_files(spark, str(path), settings.LEVELS[level]).collect()
+            expected = _whole_form(spark, texts, settings.LEVELS[level]).collect()
+            for repo in texts:
+                mine = [r.text for r in sorted((r for r in got if r.repo == repo), key=lambda r: (r.section, r.ord))]
+                theirs = [r.text for r in sorted((r for r in expected if r.repo == repo), key=lambda r: (r.section, r.ord))]
+                assert "\n".join(mine) == "\n".join(theirs), repo
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
