@@ -255,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "corpus_reduce": _over("seeded", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_code": _over("code", lambda f: reduction.reduce_corpus(f, MEDIUM)),
     "corpus_reduce_heavy": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY)),
+    "corpus_reduce_prose_heavy": _over("seeded", lambda f: reduction.reduce_corpus(f, HEAVY)),
     "corpus_reduce_heavy_all": _over("code", lambda f: reduction.reduce_corpus(f, HEAVY_ALL)),
     "corpus_reduce_light": _over("seeded", lambda f: reduction.reduce_corpus(f, LIGHT)),
     "corpus_reduce_default": _over("seeded", lambda f: reduction.reduce_corpus(f, DEFAULT)),
