@@ -241,6 +241,8 @@ QUERIES: dict[str, Query] = {
     "docstring_collapse": _text_job("python", lambda c: rules.collapse_docstrings(c, MEDIUM)),
     "long_lines": _text_job("seeded", lines.cut_long_lines),
     "json_sample": _text_job("json", lambda c: rules.json_sample(c, MEDIUM)),
+    "json_sample_records": _text_job("records", lambda c: rules.json_sample(c, MEDIUM)),
+    "json_sample_heavy": _text_job("records", lambda c: rules.json_sample(c, HEAVY)),
     "html_clean": _text_job("pages", lambda c: rules.html(c, MEDIUM)),
     "html_list_trim": _text_job("pages", lambda c: rules.html(c, HEAVY)),
     "css_clean": _text_job("css", lambda c: rules.css(c, HEAVY)),

@@ -167,6 +167,18 @@ def json_sql(d) -> str:
     FROM documents"""
 
 
+def records_sql(d) -> str:
+    """Every document as a JSON array or object with numbers, nesting, nulls, escapes and, in objects, keys that come again."""
+    lines = d.sub(d.sub("replace(replace(text, chr(92), ' '), '\"', ' ')", r"[\x00-\x09\x0b-\x1f]", " "), r"\. ", ".\n")
+    value = r'{"rest": "<2>", "n": [1, 2.50, -3e2, null, true, {}], "q": "a\\\\"b" }'
+    array = d.sub(lines, "^(..?)(.*)$", f' "<1>", -7, 0.25, null, [[ ], "x"], {value}')
+    entry = d.sub(lines, "^(..?)(.*)$", f' "<1>" : {value}')
+    joined = lambda text: f"replace({text}, concat('}}', chr(10)), concat('}},', chr(10)))"
+    return f"""SELECT source AS repo, doc_id AS ord, concat(lang, '/doc_', doc_id, '.json') AS path,
+        CASE WHEN doc_id % 2 = 0 THEN concat('[', {joined(array)}, ' ]') ELSE concat('{{', {joined(entry)}, ' }}') END AS content
+    FROM documents"""
+
+
 def pages_sql(d) -> str:
     return "SELECT 'pages' AS repo, page_id AS ord, concat('page_', page_id, '.html') AS path, html AS content FROM pages"
 
@@ -178,6 +190,7 @@ VIEWS = {
     "css": (css_sql, "documents", ["doc_id"]),
     "script": (script_sql, "documents", ["doc_id"]),
     "json": (json_sql, "documents", ["doc_id"]),
+    "records": (records_sql, "documents", ["doc_id"]),
     "thread": (thread_sql, "conversations", ["conv_id", "turn"]),
     "pages": (pages_sql, "pages", ["page_id"]),
 }

@@ -221,60 +221,108 @@ def compact_json(content: Column) -> Column:
     return F.regexp_replace(content, _JSON_TOKEN_OR_SPACE, "$1")
 
 
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
+_JSON_NUMBER = r"^-?[0-9]+(?:\.|[eE])"
+_JSON_PLAIN_TOKEN = r"^(?:[\[\]{},:]|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)$"
+
+
+def _json_written(tokens: Column) -> Column:
+    """Compact text of some tokens; numbers with a fraction or an exponent as a reader of numbers writes them."""
+    shown = F.transform(tokens, lambda t: F.when(t.rlike(_JSON_NUMBER), t.cast("double").cast("string")).otherwise(t))
+    return F.array_join(shown, "")
+
+
 def json_sample(content: Column, level: Level) -> Column:
-    """Large arrays and objects become a note and their first entries."""
+    """Large arrays and objects become a note and their first entries.
 
-    def sample(value: Column) -> Column:
-        n_items = F.json_array_length(content)
-        items = value.cast("array<variant>")
-        # Numbers as a JSON reader writes them: VARIANT drops a fraction of zero.
-        written = F.from_json(content, "array<string>")
-        keys = F.json_object_keys(content)
+    Entries are cut from the source by the depth of brackets, so what stands in them keeps
+    its order.  Of a key that comes again the first place and the last value count; keys
+    within entries stay as they are.
+    """
 
-        def shown_as(item: Column, text_of: Column) -> Column:
-            other = F.schema_of_variant(item).rlike("^(STRING|OBJECT|ARRAY|VOID)") | text_of.isNull()
-            return F.when(other, F.coalesce(F.to_json(item), F.lit("null"))).otherwise(text_of)
+    def cut(kind: Column, tokens: Column, depth: Column) -> Column:
+        n = F.size(tokens)
+        places = F.sequence(F.lit(1), n)
+        commas = F.filter(places, lambda i: (F.get(tokens, i - 1) == ",") & (F.get(depth, i - 1) == 1))
+        # Nothing but white space stands behind the bracket that closes the first one.
+        whole = F.array_position(depth, F.lit(0).cast("bigint")) == n
+        readable = F.when(kind == "[", F.json_array_length(content).isNotNull()).otherwise(F.json_object_keys(content).isNotNull())
+        edges = F.when(n > 2, F.concat(F.array(F.lit(1)), commas, F.array(n))).otherwise(F.array(F.lit(1)))
+        # The reader takes control signs and single quotes as well, which are no JSON.
+        strict = F.forall(
+            tokens,
+            lambda t: F.when(t.startswith('"'), ~t.rlike(r"[\x00-\x1f]")).otherwise(t.rlike(_JSON_PLAIN_TOKEN)),
+        )
+        return F.when(whole & readable & strict, text.let(edges, lambda e: F.when(kind == "[", array_form(tokens, e)).otherwise(object_form(tokens, e)))).otherwise(content)
 
-        def array_note(keep: int) -> Column:
+    def small(written: Column) -> Column:
+        return F.when(F.length(content) < 1000, written).otherwise(content)
+
+    def array_form(tokens: Column, edges: Column) -> Column:
+        n_items = F.size(edges) - 1
+
+        def note(keep: int) -> Column:
+            end = F.get(edges, F.lit(keep)) - 1
+            first = _json_written(F.slice(tokens, F.lit(2), end - 1))
             what = F.lit(f" items. First {keep} items:\n" if keep > 1 else " items. First item:\n")
-            first = F.array_join(F.zip_with(F.slice(items, 1, keep), F.slice(written, 1, keep), shown_as), ",")
             shown = F.concat(F.lit("["), first, F.lit("]")) if keep > 1 else first
             return F.concat(F.lit("// JSON array with "), n_items.cast("string"), what, shown)
 
-        def object_note(keep: int) -> Column:
-            names = F.slice(keys, 1, keep)
-            fields = value.cast("map<string,variant>")
-            written_fields = F.from_json(content, "map<string,string>")
+        chosen = F.when(n_items > 10, note(3))
+        if level.heavy:
+            chosen = chosen.when(n_items > 3, note(1))
+        return chosen.otherwise(small(F.array_join(tokens, "")))
+
+    def object_form(tokens: Column, edges: Column) -> Column:
+        n_entries = F.size(edges) - 1
+
+        def unquoted(token: Column) -> Column:
+            escaped = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+            return F.when(token.contains("\\"), escaped).otherwise(F.substr(token, F.lit(2), F.length(token) - 2))
+
+        def entry(name: Column, names: Column) -> Column:
+            # The last entry of this name, counted from 0.
+            at = F.size(names) - F.array_position(F.reverse(names), name).cast("int")
+            begin, end = F.get(edges, at), F.get(edges, at + 1)
             # A one-entry map gives the key its JSON quoting.
-            entries = F.transform(
-                names,
-                lambda name: F.concat(
-                    F.regexp_replace(F.to_json(F.map_from_arrays(F.array(name), F.array(F.lit(0)))), r"^\{|0\}\z", ""),
-                    shown_as(F.element_at(fields, name), F.element_at(written_fields, name)),
-                ),
-            )
-            return F.concat(
-                F.lit("// JSON object with "),
-                F.size(keys).cast("string"),
-                F.lit(" keys. Sample keys: "),
-                F.array_join(names, ", "),
-                F.lit("...\n{"),
-                F.array_join(entries, ","),
-                F.lit("}"),
-            )
+            key = F.regexp_replace(F.to_json(F.map_from_arrays(F.array(name), F.array(F.lit(0)))), r"^\{|0\}\z", "")
+            return F.concat(key, _json_written(F.slice(tokens, begin + 3, end - begin - 3)))
+
+        def form(names: Column, distinct: Column) -> Column:
+            def listed(some: Column) -> Column:
+                return F.concat(F.lit("{"), F.array_join(F.transform(some, lambda name: entry(name, names)), ","), F.lit("}"))
+
+            def note(keep: int) -> Column:
+                some = F.slice(distinct, 1, keep)
+                return F.concat(
+                    F.lit("// JSON object with "), F.size(distinct).cast("string"), F.lit(" keys. Sample keys: "),
+                    F.array_join(some, ", "), F.lit("...\n"), listed(some),
+                )
 
-        chosen = F.when(n_items > 10, array_note(3))
-        if level.heavy:
-            chosen = chosen.when(n_items > 3, array_note(1))
-        chosen = chosen.when(F.size(keys) > 20, object_note(5))
-        if level.heavy:
-            chosen = chosen.when(F.size(keys) > 5, object_note(3))
-        return chosen.when(F.length(content) < 1000, compact_json(content)).otherwise(content)
+            chosen = F.when(F.size(distinct) > 20, note(5))
+            if level.heavy:
+                chosen = chosen.when(F.size(distinct) > 5, note(3))
+            settled = F.when(F.size(distinct) == F.size(names), F.array_join(tokens, "")).otherwise(listed(distinct))
+            return chosen.otherwise(small(settled))
 
-    def by_validity(value: Column) -> Column:
-        return F.when(value.isNull(), content).otherwise(sample(value))
+        names = F.transform(F.slice(edges, F.lit(1), n_entries), lambda begin: unquoted(F.get(tokens, begin)))
+        return text.let(names, lambda all_: text.let(F.array_distinct(all_), lambda distinct: form(all_, distinct)))
 
-    return text.let(F.try_parse_json(content), by_validity)
+    def by_tokens(kind: Column) -> Column:
+        def with_depth(tokens: Column) -> Column:
+            steps = F.transform(
+                tokens, lambda t: F.when(t.isin("[", "{"), 1).when(t.isin("]", "}"), -1).otherwise(0).cast("bigint")
+            )
+            return text.let(text.running_sums(steps), lambda depth: cut(kind, tokens, depth))
+
+        return text.let(text.find_all(content, _JSON_TOKEN), with_depth)
+
+    single = content.rlike(rf"\A\s*+(?:{_JSON_TOKEN})\s*+\z") & F.try_parse_json(content).isNotNull()
+    plain = F.when(single & (F.length(content) < 1000), compact_json(content)).otherwise(content)
+    return text.let(
+        F.regexp_extract(content, r"\A\s*+(.)", 1),
+        lambda kind: F.when(kind.isin("[", "{"), by_tokens(kind)).otherwise(plain),
+    )
 
 
 def _item(tag: str) -> str:

