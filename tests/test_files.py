@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import settings
 from corpusmill.operators import filters, ledger
@@ -68,6 +69,31 @@ def test_roots(spark, tree_root):
     assert none.count() == 0
 
 
+def test_unreadable_files_and_links(spark, tree_root):
+    """A file that cannot be opened is a row; a link to a directory is not followed."""
+    os.symlink(os.path.join(tree_root, "nowhere"), os.path.join(tree_root, "src", "gone.py"))
+    os.symlink(tree_root, os.path.join(tree_root, "src", "again"))
+    found = _scan(spark, tree_root)
+    assert found["src/gone.py"].startswith("Error reading file: ") and len(found) == 10
+    with pytest.raises(NotADirectoryError):
+        files.scan_tree(spark, os.path.join(tree_root, "src", "one.py"))
+
+
+def test_one_top_folder_uses_many_tasks(spark, tmp_path):
+    """Files of one folder are dealt over tasks; many roots are one corpus, numbered by root and path."""
+    for root in ("a", "b", "c"):
+        for i in range(40):
+            path = tmp_path / root / "top" / f"d{i % 4}" / f"f{i:02d}.py"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(f"{root} {i}")
+    corpus, roots = files.scan_roots(spark, str(tmp_path), ["b", "a", "missing", "c"], skip=["d3"])
+    rows = corpus.orderBy("ord").collect()
+    assert [(r.repo, r.path) for r in rows] == [(x, f"top/d{d}/f{i:02d}.py") for x in "bac" for d in range(3) for i in range(d, 40, 4)]
+    assert all(r.content == f"{r.repo} {int(r.path[-5:-3])}" for r in rows)
+    assert corpus.select(F.spark_partition_id()).distinct().count() > 8
+    assert [(r.repo, r.error) for r in roots.orderBy("root_no").collect()] == [("b", None), ("a", None), ("missing", "not a valid directory"), ("c", None)]
+
+
 def test_fetched_files(spark):
     raw = spark.createDataFrame(
         [
