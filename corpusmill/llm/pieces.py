@@ -6,8 +6,8 @@ normalised byte keeps the original byte range that it stands for.  The library
 segments the normalised text, and each piece is projected back to original bytes.
 
 Where no piece of the vocabulary has a word mark after another sign, no piece can
-reach over the start of a run of spaces, so texts are encoded by words and a word
-that occurs again is remembered.  Otherwise texts are encoded whole.
+reach over the start of a run of marks, so normalised texts of more than
+``SPAN_CHARS`` are handed over span by span, cut there.  Other models get whole texts.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMORY_BYTES = 200 << 20
+SPAN_CHARS = 1 << 16
 MARK = "▁"
-_WORDS = re.compile(r" *[^ ]+| +\Z")
 
 
 class CharacterMap:
@@ -96,24 +94,24 @@ class PieceModel:
         bare.normalizer_spec.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
         self.byte_fallback = proto.trainer_spec.byte_fallback
-        self.by_words = (
-            not self.map.units
-            and self.dummy_prefix
-            and self.escape
-            and not self.squeeze
-            and not proto.trainer_spec.treat_whitespace_as_suffix
-            and not self.user_symbols
-            and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
-        )
-        self.letter = self.library.piece_to_id("a")
-        self.by_words = self.by_words and self.byte_fallback and not self.library.is_unknown(self.letter)
-        self.piece_bytes = [1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces]
-        self.memory: dict[str, tuple[str, int, str, list[int]]] = {}
-        self.used = 0
-
-    def normalise(self, text: str) -> tuple[str, list[int]]:
-        """Normalised text, and for each of its bytes and its end the original byte at which it starts."""
+        self.only_spaces = not self.map.units and self.escape and not self.squeeze and not self.user_symbols
+        self.marks_first = not proto.trainer_spec.treat_whitespace_as_suffix and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces)
+        self.piece_bytes = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """Normalised text, and for each of its bytes and its end the original byte at which it starts.
+
+        Where the map is empty every byte stands for itself and every space becomes a
+        mark, for all bytes at once; otherwise sign by sign.
+        """
         raw = text.encode("utf-8", "surrogatepass")
+        if self.only_spaces:
+            if not raw:
+                return "", np.zeros(1, np.int64)
+            prefix = MARK if self.dummy_prefix else ""
+            wide = np.where(np.frombuffer(raw, np.uint8) == 32, len(MARK.encode()), 1)
+            starts = np.concatenate((np.zeros(len(prefix.encode()), np.int64), np.repeat(np.arange(len(raw)), wide), [len(raw)]))
+            return prefix + text.replace(" ", MARK), starts
         space = MARK.encode() if self.escape else b" "
         out, starts = bytearray(), []
 
@@ -136,7 +134,7 @@ class PieceModel:
             while symbols and symbols[0][0].strip(b" ") == b"" :
                 symbols.pop(0)
         if not symbols:
-            return "", [0]
+            return "", np.zeros(1, np.int64)
         if self.dummy_prefix:
             put(space, symbols[0][1])
         after_space = self.squeeze
@@ -155,19 +153,36 @@ class PieceModel:
                 del out[-len(space) :]
                 last_end = starts[-len(space)]
                 del starts[-len(space) :]
-        return out.decode("utf-8", "surrogatepass"), [*starts, last_end]
-
-    def _encode(self, text: str) -> tuple[list[int], np.ndarray]:
+        return out.decode("utf-8", "surrogatepass"), np.array([*starts, last_end], np.int64)
+
+    def spans(self, normal: str) -> Iterator[str]:
+        """A normalised text in parts that encode as they do within the whole."""
+        at = 0
+        while self.marks_first and len(normal) - at > SPAN_CHARS:
+            cut = normal.rfind(MARK, at + 1, at + SPAN_CHARS)
+            while cut > at and normal[cut - 1] == MARK:
+                cut -= 1
+            if cut <= at:  # no run of marks begins within the span: the next one that does
+                cut = at + SPAN_CHARS
+                while cut < len(normal) and (normal[cut] != MARK or normal[cut - 1] == MARK):
+                    cut += 1
+            yield normal[at:cut]
+            at = cut
+        if at < len(normal):
+            yield normal[at:]
+
+    def encode_spans(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """Ids, and where in the original bytes each piece ends; a piece begins where the one before ends."""
-        normal, starts = self.normalise(text)
-        ids = self.bare.encode(normal, num_threads=1)
+        normal, starts = self.normalise(text or "")
+        ids: list[int] = []
+        for part in self.spans(normal):
+            ids += self.bare.encode(part, num_threads=1)
+        if self.byte_fallback:  # without it a run of unknown signs is one piece of unknown length
+            return ids, starts[np.cumsum(self.piece_bytes[np.array(ids, np.int64)])]
         pieces = self.bare.id_to_piece(ids)
         ends, at, raw = [], 0, normal.encode("utf-8", "surrogatepass")
         for i, piece in zip(ids, pieces, strict=True):
-            if self.bare.is_byte(i):
-                at += 1
-            elif self.bare.is_unknown(i):
-                # An unknown run is one piece of unknown length: it ends where the next known piece is found.
+            if self.bare.is_unknown(i):
                 at = self._unknown_end(raw, at, ids, pieces, len(ends))
             else:
                 at += len(piece.encode())
@@ -180,60 +195,10 @@ class PieceModel:
         found = raw.find(pieces[k + 1].encode(), at + 1)
         return found if found >= 0 else at + _symbol_length(raw, at)
 
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if "\0" in text or "  " in text:
-            return _WORDS.findall(text)
-        return [w for w in text.replace(" ", "\0 ").split("\0") if w]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words: ids as text, number of ids, decoded text and piece ends.
-
-        The first word of a text is kept with a zero before it: the model puts a mark
-        before it, while later words bring their own space.
-        """
-        normal = [MARK + w[1:].replace(" ", MARK) if w[0] == "\0" else w.replace(" ", MARK) for w in words]
-        all_ids = self.bare.encode(normal, num_threads=1)
-        # A letter before the word keeps the word's own space when it is decoded.
-        all_decoded = self.library.decode([[self.letter, *ids] for ids in all_ids], num_threads=1)
-        for word, ids, decoded in zip(words, all_ids, all_decoded, strict=True):
-            own = 3 if word[0] == "\0" else 0
-            spaces = len(word) - len(word[own // 3 :].lstrip(" ")) - own // 3
-            at, ends = -own, []
-            for i in ids:
-                at += self.piece_bytes[i]
-                # Every space is a mark of three bytes.
-                ends.append(max(0, at // 3 if at < 3 * spaces else at - 2 * spaces))
-            self.memory[word] = (",".join(map(str, ids)), len(ids), decoded[1:], ends)
-            self.used += 420 + 2 * len(word) + 40 * len(ids)
-
-    def encode(self, text: str | None) -> tuple[str, int, str, np.ndarray]:
-        """Ids as decimal text, their number, the decoded text, and the end byte of every piece."""
-        text = text or ""
-        # A mark in the text itself may join what spaces around it become, so cuts at spaces are not safe.
-        if not self.by_words or MARK in text:
-            ids, ends = self._encode(text)
-            return ",".join(map(str, ids)), len(ids), self.library.decode(ids) if ids else "", ends
-        words = self.words(text)
-        if not words:
-            return "", 0, "", np.zeros(0, np.int64)
-        sizes = np.fromiter(map(len, words if text.isascii() else [w.encode("utf-8", "surrogatepass") for w in words]), np.int64, len(words))
-        words[0] = "\0" + words[0]
-        memory = self.memory
-        try:
-            found = [memory[w] for w in words]
-        except KeyError:
-            if self.used > MEMORY_BYTES:
-                memory.clear()
-                self.used = 0
-            self._learn(list(set(words).difference(memory)))
-            found = [memory[w] for w in words]
-        ids, counts, decoded, ends = zip(*found, strict=True)
-        flat = np.fromiter(chain.from_iterable(ends), np.int64)
-        place = flat + np.repeat(np.cumsum(sizes) - sizes, np.fromiter(counts, np.int64, len(counts)))
-        # Decoding drops the mark that encoding put before the text.
-        return ",".join(filter(None, ids)), len(flat), "".join(decoded)[1:], place
+    def encode(self, text: str | None) -> tuple[list[int], str, np.ndarray]:
+        """Ids, the decoded text, and the end byte of every piece."""
+        ids, ends = self.encode_spans(text)
+        return ids, self.library.decode(ids) if ids else "", ends
 
 
 _models: dict[str, PieceModel] = {}
@@ -249,22 +214,24 @@ def piece_model(path: str) -> PieceModel:
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, begins, ends, decoded)``: ids and the original byte span of every piece, and the decoded text.
 
-    Null and empty texts have no pieces.  Rows with repeated or null ids are encoded each.
+    Null and empty texts have no pieces.  Rows with repeated or null ids are encoded each;
+    texts of any length are encoded whole; an empty table gives none; other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_model(model)
         for batch in batches:
             rows = [own.encode(text) for text in batch.column(1).to_pylist()]
-            ends = [np.zeros(0, np.int64) if r[3] is None else r[3] for r in rows]
+            ends = [r[2] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([[int(x) for x in r[0].split(",")] if r[0] else [] for r in rows], pa.list_(pa.int32())),
+                    pa.array([len(r[0]) for r in rows], pa.int64()),
+                    pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                     pa.array([np.concatenate(([0], e[:-1])) if len(e) else e for e in ends], pa.list_(pa.int64())),
                     pa.array(ends, pa.list_(pa.int64())),
-                    pa.array([r[2] for r in rows], pa.string()),
+                    pa.array([r[1] for r in rows], pa.string()),
                 ],
                 names=["doc_id", "n_tokens", "ids", "begins", "ends", "decoded"],
             )
@@ -278,6 +245,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256)`` of ``encode_pieces``, without shipping the pieces.
 
     ``spans_sha256`` is that of the pieces' end bytes as little-endian 64-bit numbers.
+    Nulls, repeated rows, long texts, empty tables and other columns as there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +253,10 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             counts, sums = [], ([], [], [])
             for text in batch.column(1).to_pylist():
-                ids, n, decoded, ends = own.encode(text)
-                counts.append(n)
-                for held, raw in zip(sums, (ids.encode(), decoded.encode("utf-8", "surrogatepass"), ends.astype("<i8").tobytes()), strict=True):
+                ids, decoded, ends = own.encode(text)
+                counts.append(len(ids))
+                listed = ",".join(map(str, ids)).encode()
+                for held, raw in zip(sums, (listed, decoded.encode("utf-8", "surrogatepass"), ends.astype("<i8").tobytes()), strict=True):
                     held.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), *(pa.array(s, pa.string()) for s in sums)],

@@ -240,29 +240,50 @@ def test_token_files(session, odd_docs, tmp_path):
 
 # 4
 
-def test_pieces_equal_the_library(session):
+def test_pieces_equal_the_library(session, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     own, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    for text in ODD + list(_texts(session, SMALL).values())[:100]:
-        ids, n, decoded, ends = own.encode(text)
-        expected = library.encode(text)
-        assert ids == ",".join(map(str, expected)) and n == len(expected)
-        assert decoded == library.decode(expected)
-        whole_ids, whole_ends = own._encode(text)
-        assert whole_ids == expected and whole_ends.tolist() == ends.tolist()
-        assert not len(ends) or ends[-1] == len(text.encode())
-
-
-def test_marks_in_the_text_equal_the_library():
+    texts = ODD + list(_texts(session, SMALL).values())[:100]
+    spans = {}
+    for size in (pieces.SPAN_CHARS, 300, 7):
+        monkeypatch.setattr(pieces, "SPAN_CHARS", size)
+        for text in texts:
+            ids, decoded, ends = own.encode(text)
+            expected = library.encode(text)
+            assert ids == expected and decoded == library.decode(expected), (size, text[:80])
+            assert not len(ends) or ends[-1] == len(text.encode())
+            assert spans.setdefault(text, ends.tolist()) == ends.tolist()
+    # Every piece's bytes, with marks for spaces, are the piece.
+    for text, ends in spans.items():
+        raw, begin = text.encode(), 0
+        for i, end in zip(library.encode(text), ends):
+            if not library.is_byte(i) and begin:
+                assert raw[begin:end].decode().replace(" ", pieces.MARK) == library.id_to_piece(i)
+            begin = end
+
+
+def test_normalising_sign_by_sign_agrees(session):
+    """The general way, taken by models with a character map, on a model that changes spaces alone."""
+    own = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ODD[:25] + list(_texts(session, SMALL).values())[:5]:
+        own.only_spaces = True
+        fast, starts = own.normalise(text)
+        own.only_spaces = False
+        slow, slow_starts = own.normalise(text)
+        assert (fast, starts.tolist()) == (slow, slow_starts.tolist())
+
+
+def test_marks_in_the_text_equal_the_library(monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     own, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(6)
     texts = ["▁ ", " ▁", "▁", "▁▁ a", "a ▁ b"] + ["".join(rng.choices(["▁", " ", "a", "the", "é", "\n", "日"], k=rng.randrange(12))) for _ in range(4000)]
-    for text in texts:
-        ids, n, decoded, ends = own.encode(text)
-        expected = library.encode(text)
-        assert (ids, n, decoded) == (",".join(map(str, expected)), len(expected), library.decode(expected)), repr(text)
-        assert len(ends) == n and (not n or ends[-1] == len(text.encode()))
+    for size in (1 << 16, 2):
+        monkeypatch.setattr(pieces, "SPAN_CHARS", size)
+        for text in texts:
+            ids, decoded, ends = own.encode(text)
+            assert ids == library.encode(text) and decoded == library.decode(ids), repr(text)
+            assert not len(ends) or ends[-1] == len(text.encode())
 
 
 def test_character_map():
@@ -385,10 +406,33 @@ def test_grammar():
     negated, = weigh("it is not idiot talk")
     told, = weigh("he said idiot words")
     threat, = weigh("I will kill you")
+    assert weigh("he said you idiot")[0] > told and weigh("John said idiot words")[0] == told
     assert aimed > plain > told > 0 and plain > negated > 0 and threat > weigh("I will kill time")[0]
     assert weigh("Nice words. Kind people") == [] and len(weigh("idiot. fine. moron!")) == 2
 
 
+def _plain_weight(symbols):
+    """A clause's weight by looking back from each insult, threat and target."""
+    total, t = 0.0, toxicity
+    for i, symbol in enumerate(symbols):
+        near = lambda kind, reach: kind in symbols[max(0, i - reach) : i]  # noqa: E731, B023
+        last = next((k for k in range(i - 1, -1, -1) if symbols[k] in (t.TARGET, t.INSULT, t.THREAT, t.REPORT)), None)
+        close = symbols[last] if last is not None and i - last <= 3 else None
+        if symbol in (t.INSULT, t.THREAT):
+            total += (1.0 if symbol == t.INSULT else 0.2) - 0.4 * near(t.NEGATION, 3) - 0.3 * near(t.REPORT, 5)
+        total += 0.3 * (symbol == t.INSULT and close == t.TARGET) + 0.8 * (symbol == t.TARGET and close == t.THREAT)
+    return total
+
+
+def test_grammar_by_brute_force():
+    words = {toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "said", toxicity.OTHER: "thing"}
+    lexicon, rng = toxicity._base_lexicon(), random.Random(6)
+    clauses = [rng.choices(list(words), [2, 2, 3, 2, 2, 4], k=rng.randrange(1, 14)) for _ in range(800)]
+    clauses = [c for c in clauses if toxicity.INSULT in c or toxicity.THREAT in c]
+    found = list(toxicity.clause_weights([" ".join(words[s] for s in c) for c in clauses], lexicon))
+    assert np.allclose([f[0] for f in found], [_plain_weight(c) for c in clauses])
+
+
 # 7
 
 def _brute_vectors(rows, cosine=0.95):
@@ -486,6 +530,7 @@ def test_quotes_by_sql(session):
         (1, 3, "assistant", ">> hello there\n> hi\nyes"), (1, 4, "user", "no quote"), (1, 5, "x", "> what\nok"),
         (1, 6, "x", "> ok\n> > nested what\n >spaced\ndeep"), (2, 0, None, None), (2, 3, "u", "> unknown\n"), (2, 3, "u", "> unknown\n"),
         (None, 1, "a", "b"), (3, None, "a", "b"), (3, 7, "u", "> self\nself"),
+        (4, 0, "u", "ok"), (4, 1, "a", "好的\nlong one"), (4, 2, "u", "> ok\nfine"), (4, 3, "a", "> 好的\n>\n> \nsure"), (4, 4, "u", "x" * 70_000 + "\n> ok"),
     ]
     frame = session.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     result = quotes.link_conversations(frame.withColumn("depth", F.lit(1)))
