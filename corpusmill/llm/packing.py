@@ -3,11 +3,15 @@
 The lengths of all pieces are a histogram of at most ``capacity`` classes, and the
 configurations of a sequence (how many pieces of which length) form a linear program:
 cover every length's count with as few configurations as possible.  Multiplicative
-weights solve it: prices per length, the dearest configuration by a knapsack dynamic
-program, and prices that fall as lengths are covered.  The solution is rounded down;
-what is left of each length is packed best-fit, again on counts.
-
-The plan's size depends on the capacity and the number of rounds, not on the data.
+weights solve it: a price per length that falls as the length is covered, and a
+knapsack dynamic program that gives, at these prices, the dearest configuration around
+each length.  A round takes the dearest ones, each as often as an even share of its
+lengths allows, rounded to whole sequences.  First only full sequences are taken; a round that
+finds none lowers the fill asked for.  Rounds go on until no configuration can be made of
+what is left, a few hundredths of the pieces at most in the tables tried.  These fill the
+open room best-fit, on counts.
+
+The number of rounds follows from the distinct lengths and not from their counts.
 Pieces take their places by their number within their length, which is counted in
 salted groups, so that no length gathers in one task.
 """
@@ -30,14 +34,16 @@ from corpusmill.llm.segments import encoder
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 150
 SALTS = 512
+SHARE = 0.1  # of a length's count, what a round covers at most
+FALL = 4.0  # of prices: by e to this power from uncovered to covered
+BEND = 1.2  # of worth over length: above 1, a few long pieces are dearer than many short ones that fill the same room
 
 Configuration = tuple[tuple[int, int], ...]  # (length, pieces), longest first
 
 
-def _dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[Configuration, float]:
-    """The configuration of the greatest total price, by dynamic programming over the room used."""
+def _knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest total price within each room, and the length (its place) that it takes last, or -1."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     for room in range(int(lengths[0]), capacity + 1):
@@ -45,47 +51,66 @@ def _dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[Co
         values = best[room - lengths[:fit]] + prices[:fit]
         i = int(values.argmax())
         best[room], last[room] = values[i], i
-    room, used = capacity, Counter()
-    while last[room] >= 0:
-        used[int(lengths[last[room]])] += 1
-        room -= int(lengths[last[room]])
-    return tuple(sorted(used.items(), reverse=True)), float(best[capacity])
+    return best, last
+
 
+def _around(i: int, last: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest configuration that holds length ``i``: places of lengths and numbers of pieces."""
+    used, room = Counter([i]), capacity - int(lengths[i])
+    while (j := int(last[room])) >= 0:
+        used[j] += 1
+        room -= int(lengths[j])
+    return used
 
-def configuration_program(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
-    """Near-optimal fractional solution of the covering program by multiplicative weights.
 
-    Each round adds the configuration that is dearest at the present prices, as often
-    as covers an even share of the scarcest length in it, and lowers the prices of
-    what it covers.  At the end all amounts are scaled so that every count is covered
-    at most once over.
+def configuration_program(counts: dict[int, int], capacity: int, rounds: int | None = None) -> Counter[Configuration]:
+    """Whole solution of the covering program by multiplicative weights; no count is covered more than once over.
+
+    ``rounds`` bounds the rounds; without it they go on until none adds anything.
     """
     lengths = np.array(sorted(counts))
-    need = np.array([counts[n] for n in lengths], float)
-    place = {int(n): i for i, n in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    amounts: dict[Configuration, float] = defaultdict(float)
-    for _ in range(rounds):
-        shares = covered / need
-        # A length's price per piece is its room, raised where it lags behind.
-        prices = lengths * np.exp(-4.0 * (shares - shares.min()))
-        configuration, value = _dearest(prices, lengths, capacity)
-        if value <= 0:
-            break
-        at = np.array([place[n] for n, _ in configuration])
-        times = np.array([k for _, k in configuration], float)
-        step = max(1.0, float((need[at] / times).min()) / 2)
-        amounts[configuration] += step
-        covered[at] += step * times
-    if not amounts:
-        return {}
-    # Scale each configuration down to the most over-covered length in it.
-    over = np.maximum(1.0, covered / need)
-    return {c: x / max(over[place[n]] for n, _ in c) for c, x in amounts.items()}
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> Counter[Configuration]:
-    """Best-fit decreasing on counts: all pieces of a length go at once into the fullest open sequences that take them."""
+    need = np.array([counts[int(n)] for n in lengths])
+    left, worth = need.copy(), (lengths / capacity) ** BEND
+    amounts: Counter[Configuration] = Counter()
+    fill, done = capacity, 0
+    while left.any() and (rounds is None or done < rounds):
+        done += 1
+        live = np.flatnonzero(left)
+        sizes, rest = lengths[live], left[live]
+        covered = 1 - rest / need[live]
+        prices = worth[live] * np.exp(-FALL * (covered - covered.min()))
+        best, last = _knapsack(prices, sizes, capacity)
+        share = np.minimum(np.maximum(1, np.floor(need[live] * SHARE)).astype(np.int64), rest)
+        fullest, added = 0, False
+        for i in np.lexsort((-sizes, -(prices + best[capacity - sizes]))):
+            if not share[i]:
+                continue
+            used = _around(int(i), last, sizes, capacity)
+            if any(not share[j] or rest[j] < k for j, k in used.items()):
+                continue
+            size = sum(int(sizes[j]) * k for j, k in used.items())
+            if size < fill:
+                fullest = max(fullest, size)
+                continue
+            times = max(1, min(int(share[j]) // k for j, k in used.items()))
+            for j, k in used.items():
+                share[j] = max(0, share[j] - k * times)
+                rest[j] -= k * times
+            amounts[tuple(sorted(((int(sizes[j]), k) for j, k in used.items()), reverse=True))] += times
+            added = True
+        left[live] = rest
+        if not added:
+            if not fullest:
+                break
+            fill = min(fullest, capacity - (capacity - fill) * 5 // 4)
+    return amounts
+
+
+def best_fit(counts: dict[int, int], capacity: int, begun: Counter[Configuration]) -> Counter[Configuration]:
+    """Best-fit decreasing on counts: all pieces of a length go at once into the fullest open sequences that take them.
+
+    ``begun`` are the sequences that are open at the start.
+    """
     rooms: list[int] = []
     open_: dict[int, Counter[Configuration]] = {}
 
@@ -95,6 +120,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Configuration]:
             insort(rooms, room)
         open_[room][configuration] += times
 
+    for configuration, times in sorted(begun.items()):
+        put(configuration, capacity - sum(n * k for n, k in configuration), times)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
@@ -122,26 +149,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Configuration]:
     return total
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
+def plan_sequences(counts: dict[int, int], capacity: int, rounds: int | None = None) -> list[tuple[Configuration, int]]:
     """Configurations and how many sequences take each; every piece has exactly one place.
 
-    The rounded program and a best-fit of its rest compete with a best-fit of all.
+    The program's solution, and in its open room and new sequences the pieces that it leaves.
     """
     counts = {n: k for n, k in counts.items() if k > 0}
     if not counts:
         return []
-    fractions = configuration_program(counts, capacity, rounds)
+    planned = configuration_program(counts, capacity, rounds)
     left = dict(counts)
-    rounded: Counter[Configuration] = Counter()
-    for configuration, amount in sorted(fractions.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(amount + 1e-9), *(left[n] // k for n, k in configuration)])
-        if times > 0:
-            rounded[configuration] += times
-            for n, k in configuration:
-                left[n] -= k * times
-    rounded += best_fit({n: k for n, k in left.items() if k}, capacity)
-    plain = best_fit(counts, capacity)
-    return sorted((rounded if sum(rounded.values()) <= sum(plain.values()) else plain).items())
+    for configuration, times in planned.items():
+        for n, k in configuration:
+            left[n] -= k * times
+    return sorted(best_fit({n: k for n, k in left.items() if k}, capacity, planned).items())
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):

@@ -522,6 +522,26 @@ def test_plan_covers_every_count():
     assert packing.plan_sequences({}, 10) == []
 
 
+def test_program_places_the_pieces(session):
+    docs = session.read.parquet(f"{MEDIUM}/documents.parquet")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    real = {row.length: row["count"] for row in pieces.groupBy("length").count().collect()}
+    rng = random.Random(5)
+    for counts in (real, {n: 1000 * k for n, k in real.items()}, Counter(rng.randrange(200, 1200) for _ in range(3000))):
+        program = packing.configuration_program(counts, 2048)
+        covered = Counter()
+        for configuration, times in program.items():
+            for n, k in configuration:
+                covered[n] += k * times
+        assert all(covered[n] <= counts[n] for n in covered)
+        assert covered.total() >= 0.9 * sum(counts.values())
+        sequences = sum(times for _, times in packing.plan_sequences(counts, 2048))
+        assert sequences <= 1.002 * -(-sum(n * k for n, k in counts.items()) // 2048) + 1
+        assert sequences <= sum(packing.best_fit(counts, 2048, Counter()).values())
+    # Two lengths that fill a sequence only as three and one: the longest pieces first would need more.
+    assert sum(times for _, times in packing.plan_sequences({6: 30, 4: 60, 2: 30}, 10)) == 48
+
+
 # 10
 
 def test_quotes_by_sql(session):
