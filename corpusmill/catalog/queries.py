@@ -85,7 +85,7 @@ def _ignore(scope: str) -> Query:
 
 
 def _with_stats(view: str, job: Callable[[DataFrame], DataFrame]) -> Query:
-    return _over(view, lambda files: job(analysis.file_stats(files)))
+    return _over(view, lambda files: job(analysis.measures(files)))
 
 
 def _symbols(files: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ QUERIES: dict[str, Query] = {
     "import_summary": _over("python", lambda f: imports.import_summary(f, MIN_IMPORTS)),
     "reduction_ratio": _over("seeded", lambda f: reduction.reduction_ratio(f, _shorter(f))),
     "file_reduction": _over("seeded", lambda f: reduction.file_reduction(f, _shorter(f))),
-    "repo_summary": _over("seeded", lambda f: analysis.repo_summary(f, analysis.file_stats(f), HEAVY)),
+    "repo_summary": _over("seeded", lambda f: analysis.repo_summary(f, analysis.measures(f), HEAVY)),
     "report_assembly": _over("code", lambda f: report.corpus_report(f)[0]),
     # joins
     "reference_count": _over("seeded", references.reference_count),

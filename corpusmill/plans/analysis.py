@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import paths, text
 from corpusmill.operators import duplicates, profile, ranking, references
+from corpusmill.session import settle
 from corpusmill.settings import Level
 
 
@@ -28,15 +29,22 @@ def file_stats(files: DataFrame) -> DataFrame:
     )
 
 
+def measures(files: DataFrame) -> DataFrame:
+    """``file_stats``, settled once: a slim row per file that ranks, totals, languages and counts read instead of the text."""
+    return settle(file_stats(files))
+
+
 def repo_summary(files: DataFrame, stats: DataFrame, level: Level) -> DataFrame:
     """A few sentences per repository: ``(repo, summary)``.
 
-    Every input is aggregated to a row per repository before it is joined.
+    Every input is aggregated to a row per repository before it is joined.  ``stats``
+    are read several times, so they should be ``measures``; the text is read once,
+    for repeated sections.
     """
     totals = stats.groupBy("repo").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("n_lines").alias("n_lines")
     )
-    languages = profile.top_languages(files).select("repo", "languages")
+    languages = profile.top_languages(stats).select("repo", "languages")
     largest = ranking.largest_files(stats, 1).select(
         "repo", F.col("path").alias("largest"), F.col("n_lines").alias("largest_lines")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill import settings
 from corpusmill.functions.joins import meet
 from corpusmill.operators import duplicates, ranking, reduce
-from corpusmill.plans.analysis import file_stats, repo_summary
+from corpusmill.plans.analysis import measures, repo_summary
 from corpusmill.plans.report import rescanned_report_rows, rewritten_report_rows
 from corpusmill.settings import Level
 from corpusmill.sources import report_text
@@ -25,7 +25,7 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     path, importance = F.col("path"), F.col("importance")
     edits = duplicates.replacements(files, level.duplicate_threshold)
     if level.heavy:
-        stats = file_stats(files) if stats is None else stats
+        stats = measures(files) if stats is None else stats
         chosen = ranking.retained(stats, level).select("repo", "path", "importance")
         todo = meet(files, chosen.join(edits, ["repo", "path"], "left"), ["repo", "path"], "inner")
     else:
@@ -39,7 +39,7 @@ def reduce_corpus(files: DataFrame, level: Level, stats: DataFrame | None = None
     if not level.heavy:
         return reduced
     note_path = F.lit(settings.SKIPPED_SUMMARY_PATH)
-    notes = ranking.skipped_counts(files, level).select(
+    notes = ranking.skipped_counts(stats, level).select(
         "repo",
         note_path.alias("path"),
         F.lit(2**63 - 1).cast("bigint").alias("ord"),  # behind all files
@@ -54,7 +54,7 @@ def reduce_report_files(spark: SparkSession, path: str, level: Level) -> DataFra
     Reports are split over many tasks and never held as a whole, nor are their sections.
     """
     scanned = report_text.scan_reports(spark, path)
-    stats = file_stats(scanned.files)
+    stats = measures(scanned.files)
     return rescanned_report_rows(
         scanned.reports, scanned.sections, reduce_corpus(scanned.files, level, stats), repo_summary(scanned.files, stats, level)
     )
@@ -64,7 +64,7 @@ def reduce_reports(reports: DataFrame, level: Level) -> DataFrame:
     """Finished reports ``(repo, text)`` to the rows of their reduced form."""
     sections = report_text.report_sections(reports)
     files = report_text.report_blocks(sections)
-    stats = file_stats(files)
+    stats = measures(files)
     return rewritten_report_rows(
         sections, reduce_corpus(files, level, stats), repo_summary(files, stats, level)
     )

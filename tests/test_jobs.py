@@ -328,3 +328,21 @@ def test_heavy_reduction_of_all_files(corpus):
     kept = {r.path: r.content for r in some.collect()}
     whole = {r.path: r.content for r in all_.collect()}
     assert all(whole[path] == content for path, content in kept.items() if path in whole)
+
+
+def test_text_is_read_once(corpus, spark, tmp_path):
+    """Ranks, totals and the list of skipped files read settled measures; the summary reads the text once more."""
+    rows = [("r", f"d/f{i}.py", f"import f{i + 1}\nx = {i}\n") for i in range(30)]
+    corpus(*rows).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    stats = analysis.measures(files)
+
+    def text_scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return sum("FileScan" in line and "content:string" in line for line in plan.split("\n"))
+
+    assert text_scans(analysis.file_stats(files)) == 2
+    assert text_scans(ranking.skipped_summary(stats)) == text_scans(ranking.key_files(stats)) == 0
+    assert text_scans(analysis.repo_summary(files, stats, HEAVY)) == 1
+    assert sorted(stats.collect()) == sorted(analysis.file_stats(files).collect())
+    assert ranking.skipped(stats).count() == 15
