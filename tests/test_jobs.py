@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill import settings
+from corpusmill.catalog import queries
 from corpusmill.functions import text as text_functions
 from corpusmill.operators import duplicates, filters, profile, ranking, reduce, references
 from corpusmill.plans import analysis, reduction
@@ -138,6 +139,31 @@ def test_duplicate_replacement(corpus):
         assert {(r.repo, r.path): r.content for r in replaced.collect()} == expected
 
 
+def test_files_that_share_a_path_keep_their_own_sections(spark, corpus):
+    one, two, three = (" ".join(["word%d" % k] * 10) for k in range(3))
+    files = corpus(
+        ("r", "main.py", one),
+        ("r", "main.py", f"{two}\n\n{three}\n\n{one}"),
+        ("r", "other.py", f"{three}\n\n{one}"),
+    )
+    told = "# DUPLICATE CODE: Same as in main.py\n# 1 lines\n"
+    expected = [one, f"{two}\n\n{three}\n\n{told}", f"{told}\n\n{told}"]
+    replaced = queries._duplicate_replace(files).collect()
+    assert sorted((r.path, r.content) for r in replaced) == sorted(zip(["main.py", "main.py", "other.py"], expected))
+    for level in (HEAVY, settings.LEVELS["heavy_all"]):
+        reduced = reduction.reduce_corpus(files, level).orderBy("ord").collect()
+        assert [r.ord for r in reduced] == [0, 1, 2]
+        assert [r.content.count("DUPLICATE CODE") for r in reduced] == [0, 1, 2]
+    # Rows that share all keys are told apart by what they hold.
+    same_keys = spark.createDataFrame(
+        [("r", "a.py", 1, three), ("r", "a.py", 1, f"{two}\n\n{one}"), ("r", "b.py", 2, one)],
+        "repo string, path string, ord bigint, content string",
+    )
+    assert sorted(r.content for r in queries._duplicate_replace(same_keys).collect()) == sorted(
+        [three, f"{two}\n\n{one}", "# DUPLICATE CODE: Same as in a.py\n# 1 lines\n"]
+    )
+
+
 def test_retention_and_ranks(corpus):
     rows = [("big", f"d/{i}.{'py' if i % 3 == 0 else 'txt'}", "x\n" * (i % 7)) for i in range(30)]
     rows += [("small", f"{i}.txt", "") for i in range(20)]
