@@ -290,6 +290,18 @@ def test_unclosed_elements_and_parted_items_take_linear_time(apply):
     assert time.monotonic() - start < 60
 
 
+def test_json_of_many_tokens_is_not_cut_into_all_of_them(apply):
+    """Half a million small records, as JSON and with an end that makes them none, against the time of small ones."""
+    records = '[{"n": [1, 2.50, {"q": "a]"}], "k": null}' + ', {"n": [1, 2.50, {"q": "a]"}], "k": null}' * 500_000
+    heavy = lambda t: rules.json_sample(t, HEAVY)
+    deep = "[" + "[" * 40 + "1.50" + "]" * 40 + ", 2" * 11 + "]"
+    assert apply(heavy, deep).endswith("First 3 items:\n[" + "[" * 40 + "1.5" + "]" * 40 + ",2,2]")
+    start = time.monotonic()
+    assert apply(heavy, records + "]").startswith("// JSON array with 500001 items. First 3 items:\n[{")
+    assert apply(heavy, records + ",]") == records + ",]"
+    assert time.monotonic() - start < 20
+
+
 def test_json_by_a_parser(apply):
     """Random values against Python's reader: repeated keys, escapes, nesting, numbers, and texts that are no JSON."""
     rng = random.Random(10)
