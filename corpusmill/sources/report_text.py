@@ -12,8 +12,9 @@ from corpusmill.functions import text
 from corpusmill.functions.joins import meet
 from corpusmill.session import settle
 
-# Fixed value: layout of a file block.  `(?d)`: only \n ends a line.
-_BLOCK = r"(?d)File: (.*?)\r?\nContent:(?:\r?\n)?([\s\S]*?)(?=(?:\r?\n){2}File: |$)"
+# Fixed value: layout of a file block.  `(?d)`: only \n ends a line.  A block can end at a line end only,
+# so the text between line ends is passed over at once.
+_BLOCK = r"(?d)File: (.*?)\r?\nContent:(?:\r?\n)?((?:[^\r\n]++|(?!(?:\r?\n){2}File: |$)[\r\n])*+)"
 
 
 def report_sections(reports: DataFrame) -> DataFrame:

@@ -217,6 +217,25 @@ def test_reduce_corpus(corpus):
     assert empty.percent is None
 
 
+def test_reports_are_cut_once(spark):
+    """Each report is read for its files and for the rest, not by every job that reads the files."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    block = "File: a.py\nContent:\nx = 1\r\n\r\n\nb\n\nFile: test_a.py\nContent:\n\ny\n\nFile: a.py\nContent:\nlast"
+    rows = [(f"r{i}", f"README:\n{i}\n\nStructure:\nr/\n\nFile Contents:\n{block}\n\n") for i in range(10)]
+    reports = spark.createDataFrame(rows, "repo string, text string").select("repo", F.udf(count)("text").alias("text"))
+    reduced = reduction.reduce_reports(reports, HEAVY).where("repo = 'r3'").orderBy("section", "ord").collect()
+    assert [r.text.split("\n")[0] for r in reduced] == [
+        "README:", "Repository Analysis Summary:", "Structure:r/", "File Contents:", "File: a.py", "File: test_a.py",
+    ]
+    assert reduced[4].text == "File: a.py\nContent:\nlast\n"
+    assert read.value <= 2 * len(rows)
+
+
 def test_ignore_rules(spark, corpus):
     lines = ["*.log", "/build/", "docs/**/x?.md", "!keep.log", "*.py[co]", "a.b", "# c", "  "]
     rules = filters.parse_rules(spark.createDataFrame([("r", line) for line in lines], "repo string, line string"))
