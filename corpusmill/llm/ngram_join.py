@@ -68,79 +68,110 @@ def plan_of(band: int) -> tuple[int, int]:
     return m, (0 if m == 1 else max(min(m, 8), m // 100))
 
 
-def bands(n: int) -> list[int]:
-    """The bands under which a set posts: its own and, where a link of 3/4 can reach it, the one below."""
-    own = band_of(n)
-    return [own, own - 1] if own and 4 * int(_TOPS[own - 1]) >= 3 * n else [own]
-
-
-def _segments(u: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Element order by segment, segment numbers, their first elements and sizes; and the doubled ones."""
-    m, doubled = plan_of(band)
-    segment = ((u >> _U(20)) % _U(m)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    sizes = np.bincount(segment, minlength=m)
-    filled = np.flatnonzero(sizes)
-    sizes = sizes[filled]
-    return order, filled, np.cumsum(sizes) - sizes, sizes, doubled
-
-
-def capacity(u: np.ndarray, band: int) -> int:
-    """Sum of the thresholds that a set's segments allow in a band."""
-    m, doubled = plan_of(band)
-    sizes = np.bincount(((u >> _U(20)) % _U(m)).astype(np.int64), minlength=m)
-    return int((sizes > 0).sum() + (sizes[:doubled] > 1).sum())
-
-
-def posts(u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures and tags (four times the segment, plus the role) of all posts of a set."""
-    value = mix(u + _U(0x5851F42D4C957F2D))
-    own = band_of(len(u))
-    for band in bands(len(u)):
-        order, filled, starts, sizes, doubled = _segments(u, band)
-        content = np.add.reduceat(value[order], starts)
-        place = mix((np.uint64(band) << _U(40)) + filled.astype(_U) + _U(1))
-        wide = (filled < doubled) & (sizes > 1)
-        reach = int(sizes[: np.searchsorted(filled, doubled)].sum())
-        at = np.repeat(np.arange(len(filled)), sizes)[:reach]
-        at_wide = wide[at]
-        deletions = (content[at] - value[order[:reach]])[at_wide]
-        at = at[at_wide]
-        role = CONTENT if band == own else PROBE
-        yield (
-            mix(np.concatenate((content + place, deletions + place[at]))),
-            4 * np.concatenate((filled, filled[at])) + np.concatenate((np.full(len(filled), role), np.full(len(at), role + 2))),
-        )
+_PLANS = np.array([plan_of(band) for band in range(len(_TOPS))], np.int64)
+_GROUP_SETS, _GROUP_ELEMENTS = 256, 1 << 17
+
+
+def _groups(sets: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sets in lists of bounded length, so that numpy works on many at once; a set beyond the bound ends its list."""
+    held, size = [], 0
+    for u in sets:
+        held.append(u)
+        size += len(u)
+        if len(held) == _GROUP_SETS or size > _GROUP_ELEMENTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def sketch(u: np.ndarray) -> bytes:
-    """Parity of the elements' hash in each of 2048 bits; two sets differ at least as much as their parities."""
-    return np.packbits(np.bincount((u >> _U(52)).astype(np.int64) & (_BITS - 1), minlength=_BITS).astype(np.uint8) & 1).tobytes()
+class Layout:
+    """Where the elements of some sets, none of them empty, fall under the bands where the sets post.
+
+    A set posts under its own band and, where a link of 3/4 can reach it, under the
+    one below: these are its entries, all own ones first.  Cells number the segments of all entries.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.u = np.concatenate(sets)
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        own = np.searchsorted(_TOPS, self.sizes)
+        below = (own > 0) & (4 * _TOPS[own - 1] >= 3 * self.sizes)
+        self.set = np.concatenate((np.arange(len(sets)), np.flatnonzero(below)))
+        self.band = np.concatenate((own, own[below] - 1))
+        m, self.doubled = _PLANS[self.band].T
+        self.element = np.concatenate((np.arange(len(self.u)), np.flatnonzero(np.repeat(below, self.sizes))))
+        self.entry = np.repeat(np.arange(len(self.set)), self.sizes[self.set])
+        self.segment = ((self.u >> _U(20))[self.element] % m.astype(_U)[self.entry]).astype(np.int64)
+        self.cell = (np.cumsum(m) - m)[self.entry] + self.segment
+        self.fill = np.bincount(self.cell, minlength=int(m.sum()))
+        self.filled = np.flatnonzero(self.fill)
+        self.filled_entry = np.repeat(np.arange(len(m)), m)[self.filled]
+        self.filled_segment = self.filled - (np.cumsum(m) - m)[self.filled_entry]
+
+    def rooms(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the thresholds that each set's segments allow in its own band and in the one below, 0 without."""
+        wide = (self.filled_segment < self.doubled[self.filled_entry]) & (self.fill[self.filled] > 1)
+        n = len(self.sizes)
+        room = np.bincount(self.filled_entry, 1 + wide, len(self.set)).astype(np.int64)
+        below = np.zeros(n, np.int64)
+        below[self.set[n:]] = room[n:]
+        return room[:n], below
+
+    def posts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures, tags (four times the segment, plus the role) and sets of all posts."""
+        value = mix(self.u + _U(0x5851F42D4C957F2D))[self.element]
+        content = np.zeros(len(self.fill), _U)
+        np.add.at(content, self.cell, value)
+        place = lambda entry, segment: mix((self.band[entry].astype(_U) << _U(40)) + segment.astype(_U) + _U(1))
+        wide = np.flatnonzero((self.segment < self.doubled[self.entry]) & (self.fill[self.cell] > 1))
+        entry = np.concatenate((self.filled_entry, self.entry[wide]))
+        segment = np.concatenate((self.filled_segment, self.segment[wide]))
+        kept = np.concatenate((content[self.filled], content[self.cell[wide]] - value[wide]))
+        role = np.where(entry < len(self.sizes), CONTENT, PROBE)
+        role[len(self.filled) :] += DELETION
+        return mix(kept + place(entry, segment)), 4 * segment + role, self.set[entry]
+
+    def nodes(self) -> np.ndarray:
+        """Names of the sets: a 64-bit hash of all elements each."""
+        return mix(np.add.reduceat(self.u, self.first) + self.sizes.astype(_U)).view(np.int64)
+
+    def checks(self) -> np.ndarray:
+        return np.add.reduceat(mix(self.u), self.first).view(np.int64)
+
+    def sketches(self) -> np.ndarray:
+        """Parity of the elements' hash in each of 2048 bits; two sets differ at least as much as their parities."""
+        bit = np.repeat(np.arange(len(self.sizes)) * _BITS, self.sizes) + ((self.u >> _U(52)).astype(np.int64) & (_BITS - 1))
+        odd = np.bincount(bit, minlength=len(self.sizes) * _BITS).astype(np.uint8) & 1
+        return np.packbits(odd).view(np.int64)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        for key, u in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
-            with np.errstate(over="ignore"):
-                n = len(u)
-                rooms = [capacity(u, band) for band in bands(n)] if n else []
-                room_own, room_below = (*rooms, 0, 0)[:2]
-                node, check = (node_of(u), int(mix(u).sum(dtype=_U).view(np.int64))) if n else (0, 0)
-                rows.append((key, n, node, check, room_own, room_below, np.frombuffer(sketch(u), np.int64) if n else None))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _PROFILE_ARROW, strict=True)]
-            if rows
-            else [pa.array([], kind) for kind in _PROFILE_ARROW],
-            names=_PROFILE_NAMES,
-        )
+        for part in _parts(batch):
+            at = 0
+            for sets in _groups(shingle_sets(part.column(1).to_pylist())):
+                filled = np.array([len(u) > 0 for u in sets])
+                numbers = np.zeros((5, len(sets)), np.int64)
+                bits = np.zeros(0, np.int64)
+                if filled.any():
+                    with np.errstate(over="ignore"):
+                        layout = Layout([u for u in sets if len(u)])
+                        numbers[:, filled] = (layout.sizes, layout.nodes(), layout.checks(), *layout.rooms())
+                        bits = layout.sketches()
+                ends = np.concatenate(([0], np.cumsum(filled) * SKETCH_WORDS)).astype(np.int32)
+                sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits), mask=pa.array(~filled))
+                ids = part.column(0).slice(at, len(sets))
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, numbers), sketches], names=_PROFILE_NAMES)
+                at += len(sets)
 
 
 _PROFILE = "id bigint, n bigint, node bigint, check bigint, room_own bigint, room_below bigint, bits array<bigint>"
 _PROFILE_NAMES = [part.split()[0] for part in _PROFILE.split(", ")]
-_PROFILE_ARROW = [pa.int64()] * 6 + [pa.list_(pa.int64())]
 _POST = "sig bigint, node bigint, tag int"
 _SEEN = 1 << 18
+_PART_ROWS = 512
 
 
 def node_of(u: np.ndarray) -> int:
@@ -148,43 +179,45 @@ def node_of(u: np.ndarray) -> int:
     return int(mix(u.sum(dtype=_U, keepdims=True) + _U(len(u)))[0].view(np.int64))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, of which one at a time is held as Python strings."""
+    return (batch.slice(at, _PART_ROWS) for at in range(0, batch.num_rows, _PART_ROWS))
+
+
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posts of the sets; of a set that was among the last ``_SEEN`` ones of the task, none."""
     seen: set[int] = set()
-
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["sig", "node", "tag"])
-
     for batch in batches:
-        held, size = [], 0
-        for u in shingle_sets(batch.column(0).to_pylist()):
-            with np.errstate(over="ignore"):
-                if not len(u) or (node := node_of(u)) in seen:
-                    continue
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add(node)
-                for signatures, tags in posts(u):
-                    held.append((signatures.view(np.int64), np.full(len(tags), node), tags.astype(np.int32)))
-                    size += len(tags)
-            if size > 100_000:
-                yield packed(held)
-                held, size = [], 0
-        if held:
-            yield packed(held)
+        for part in _parts(batch):
+            for sets in _groups(u for u in shingle_sets(part.column(0).to_pylist()) if len(u)):
+                new: dict[int, np.ndarray] = {}
+                with np.errstate(over="ignore"):
+                    for u in sets:
+                        if (node := node_of(u)) not in seen:
+                            new.setdefault(node, u)
+                    if not new:
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.update(new)
+                    signatures, tags, of = Layout([*new.values()]).posts()
+                nodes = np.fromiter(new, np.int64, len(new))[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signatures.view(np.int64)), pa.array(nodes), pa.array(tags.astype(np.int32))], names=["sig", "node", "tag"]
+                )
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs ``(a, b)`` whose texts reach the threshold, counted on their sets."""
     for batch in batches:
-        pairs = zip(shingle_sets(batch.column(2).to_pylist()), shingle_sets(batch.column(3).to_pylist()), strict=True)
-        keep = []
-        for one, other in pairs:
-            common = len(np.intersect1d(one, other, assume_unique=True))
-            keep.append(100 * common >= 75 * (len(one) + len(other) - common) > 0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"]
-        )
+        for part in _parts(batch):
+            pairs = zip(shingle_sets(part.column(2).to_pylist()), shingle_sets(part.column(3).to_pylist()), strict=True)
+            keep = []
+            for one, other in pairs:
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * common >= 75 * (len(one) + len(other) - common) > 0)
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
 
 
 _FILTER_BITS = 1 << 26

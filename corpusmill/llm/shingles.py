@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SLICE_BYTES = 1 << 20
+SHINGLE_BYTES = 1 << 18  # shingles are made on smaller slices, whose arrays stay in the cache
 WIDTH = 5
 
 _U = np.uint64
@@ -48,12 +49,12 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Position of the first text and the texts' bytes, slice by slice; null is empty."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if held and size + len(raw) > SLICE_BYTES:
+        if held and size + len(raw) > limit:
             yield first, held
             first, held, size = i, [], 0
         held.append(raw)
@@ -78,10 +79,19 @@ def word_hashes(raws: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.n
     return hashes, starts, ends, data, np.searchsorted(starts, begins)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of a text with fewer words, the hash of all of them."""
     with np.errstate(over="ignore"):
-        for _, raws in slices(texts):
+        for _, raws in slices(texts, SHINGLE_BYTES):
             words, _, _, _, first = word_hashes(raws)
             n = len(words)
             joined = np.zeros(max(0, n - width + 1), _U)
@@ -90,7 +100,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
             joined = mix(joined)
             for begin, end in zip(first[:-1], first[1:], strict=True):
                 if end - begin >= width:
-                    yield np.unique(joined[begin : end - width + 1])
+                    yield _distinct(joined[begin : end - width + 1])
                 elif end > begin:
                     whole = _U(end - begin)
                     for word in words[begin:end]:

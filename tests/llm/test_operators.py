@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -177,6 +178,40 @@ def test_ngram_join_odd(odd_docs):
     assert ngram_join.ngram_join(odd_docs.limit(0)).count() == 0
 
 
+def test_posts_of_many_sets_at_once():
+    """Posts of a group by their definition, set by set and segment by segment; batches that do not follow the input's."""
+    rng, mixed = np.random.default_rng(8), lambda n: int(shingles.mix(np.array([n % 2**64], np.uint64))[0])
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 2, 3, 5, 8, 13, 40, 41, 53, 54, 700, 3000)]
+    with np.errstate(over="ignore"):
+        layout = ngram_join.Layout(sets)
+        signatures, tags, of = layout.posts()
+        rooms = layout.rooms()
+    wanted = []
+    for i, u in enumerate(sets):
+        own = ngram_join.band_of(len(u))
+        for band in [own, own - 1] if own and 4 * int(ngram_join._TOPS[own - 1]) >= 3 * len(u) else [own]:
+            m, doubled = ngram_join.plan_of(band)
+            cells, room = defaultdict(list), 0
+            for x in map(int, u):
+                cells[(x >> 20) % m].append(mixed(x + 0x5851F42D4C957F2D))
+            for segment, values in cells.items():
+                place, tag = mixed((band << 40) + segment + 1), 4 * segment + (band != own)
+                room += 1
+                wanted.append((mixed(sum(values) + place), tag, i))
+                if segment < doubled and len(values) > 1:
+                    room += 1
+                    wanted += [(mixed(sum(values) - v + place), tag + 2, i) for v in values]
+            assert rooms[band != own][i] == room
+    assert sorted(zip(map(int, signatures), map(int, tags), map(int, of))) == sorted(wanted)
+    texts = [None, "", *(f"a b c d e f{i % 1500}" for i in range(2000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    profiles = list(ngram_join._profiles(iter([batch])))
+    assert max(b.num_rows for b in profiles) <= 512 and [i for b in profiles for i in b.column(0).to_pylist()] == [*range(len(texts))]
+    assert [b.column(1).to_pylist() for b in profiles][0][:3] == [0, 0, 2] and profiles[0].column(6).to_pylist()[:2] == [None, None]
+    posts = list(ngram_join._posts(iter([batch.select([1])])))
+    assert len(posts) > 1 and len({n for b in posts for n in b.column(1).to_pylist()}) == 1500
+
+
 def test_short_of_room_is_exact(session, monkeypatch):
     """Sets that cannot reach the sum are compared with their whole band."""
     monkeypatch.setattr(ngram_join, "plan_of", lambda band: (1, 0))
