@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.components import components
 from corpusmill.llm.landing import land
+from corpusmill.llm.segments import forget
 from corpusmill.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -148,6 +149,7 @@ class Layout:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for part in _parts(batch):
             at = 0
@@ -186,6 +188,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posts of the sets; of a set that was among the last ``_SEEN`` ones of the task, none."""
+    forget()
     seen: set[int] = set()
     for batch in batches:
         for part in _parts(batch):

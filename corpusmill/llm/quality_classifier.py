@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.labelled import held_out, training_sample
+from corpusmill.llm.segments import forget
 from corpusmill.llm.shingles import mix, slices, word_hashes
 
 _U = np.uint64
@@ -183,6 +184,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), table, constant) >= threshold))
 

@@ -1,7 +1,8 @@
 """Exact tokenization by segments that a tokenizer never joins, each encoded once and remembered.
 
 The tokenizers library encodes the distinct segments; a text is the concatenation of
-its segments' ids.  Workers keep the memory between tasks, up to ``MEMORY_BYTES``.
+its segments' ids.  Workers keep the memory between tasks, up to ``MEMORY_BYTES``; tasks of other work
+that the same worker gets later give it back (``forget``).
 Texts for which a cut is not provably harmless are encoded whole.
 """
 
@@ -164,6 +165,11 @@ def _cut_for(spec: dict) -> Callable[[str], list[bytes] | None] | None:
 _encoders: dict[str, SegmentEncoder] = {}
 
 
+def forget() -> None:
+    """Give back the memory of this worker's encoder; for tasks of other work, which hold much themselves."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> SegmentEncoder:
     """This worker's encoder of a tokenizer file."""
     if path not in _encoders:

@@ -212,6 +212,15 @@ def test_posts_of_many_sets_at_once():
     assert len(posts) > 1 and len({n for b in posts for n in b.column(1).to_pylist()}) == 1500
 
 
+def test_other_work_gives_back_the_encoder():
+    """What a worker remembered of a tokenizer's words is not kept beside the join's own memory."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["a b c d e f"])], names=["id", "text"])
+    for task in (ngram_join._profiles, lambda batches: ngram_join._posts(b.select([1]) for b in batches)):
+        segments.encoder(public_tokenizers.path("word_bpe_49k.json")).encode("some words to remember")
+        assert len(list(task(iter([batch])))) == 1
+        assert not segments._encoders
+
+
 def test_short_of_room_is_exact(session, monkeypatch):
     """Sets that cannot reach the sum are compared with their whole band."""
     monkeypatch.setattr(ngram_join, "plan_of", lambda band: (1, 0))
