@@ -24,7 +24,8 @@ _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 # How byte-level tokenizers write bytes: printable Latin-1 as itself, the others from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_LETTERS = [chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256)]
 
 # A line feed or space that is neither first nor last in its run of white space, or the last of several at the text's end.
 _INNER = re.compile(r"\s[ \n](?:\s|\Z)")
@@ -55,27 +56,29 @@ class SegmentEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's model on its bytes as it writes them."""
-        raw = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        raw = "".join(map(_BYTE_LETTERS.__getitem__, part.encode()))
         return array(self.dtype.char, [token.id for token in self.model.tokenize(raw)]).tobytes()
 
     def _simple(self, word: str) -> bytes | None:
         """Ids of Latin letters with a space or line feed before and punctuation after them; None for others.
 
         Their pre-tokens are plain: the letters, with the space; the line feed; the
-        punctuation.  This spares the library's bookkeeping of offsets.
+        punctuation.  This spares the library's bookkeeping of offsets, and the letters
+        are not encoded again where they are remembered without line feed and punctuation.
         """
         match = _PLAIN.fullmatch(word)
         if match is None:
             return None
         before, letters, after = match.groups()
-        letters = letters.lower() if self.lower else letters
+        spaced = " " + letters if before == " " else letters
+        ids = self.memory.get(spaced.encode()) if before == "\n" or after else None
+        if ids is None:
+            ids = self._part(spaced.lower() if self.lower else spaced)
         known = self.parts
         for part in (before, after):
             if part and part not in known:
                 known[part] = self._part(part)
-        if before == " ":
-            return self._part(" " + letters) + (known[after] if after else b"")
-        return (known[before] if before else b"") + self._part(letters) + (known[after] if after else b"")
+        return (known[before] if before == "\n" else b"") + ids + (known[after] if after else b"")
 
     def _learn(self, missing: Iterable[bytes]) -> None:
         """Encode segments: plain ones by the model, the others in one call, with a special token between them
@@ -133,7 +136,8 @@ def _cut_before_white_space(text: str) -> list[bytes] | None:
     raw = text.encode()
     if b"\0" in raw:
         return None
-    return [s for s in raw.replace(b"\n", b"\0\n").replace(b" ", b"\0 ").split(b"\0") if s]
+    segments = raw.replace(b"\n", b"\0\n").replace(b" ", b"\0 ").split(b"\0")
+    return segments if segments[0] else segments[1:]
 
 
 def _cut_for(spec: dict) -> Callable[[str], list[bytes] | None] | None:

@@ -261,6 +261,16 @@ def test_white_space_at_the_end_equals_the_library(name):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_letters_are_encoded_once():
+    """A word with a line feed or punctuation takes the ids of the same word without them."""
+    encode = segments.SegmentEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, part = [], encode._part
+    encode._part = lambda text: asked.append(text) or part(text)
+    texts = ["Caña", "\nCaña", "a casa", "a casa,", "b casa; Caña!\ncasa", " casa,\n casa"]
+    assert [encode.encode(text) for text in texts] == [encode.whole(text) for text in texts]
+    assert asked.count(" casa") == 1 and asked.count("Caña") == 1
+
+
 def test_token_files(session, odd_docs, tmp_path):
     from corpusmill.llm import token_files
 
