@@ -119,7 +119,7 @@ def scan_reports(spark: SparkSession, path: str) -> ScannedReports:
         value.contains(settings.FILES_HEADER.strip()).alias("files"),
         F.coalesce(second("Structure:").contains(settings.FILES_HEADER.strip()), F.lit(False)).alias("files_behind"),
     )
-    has_mark = value.rlike(r"README:|Structure:|File Contents:")
+    has_mark = value.contains("README:") | value.contains("Structure:") | value.contains("File Contents:")
     splits = settle(
         pieces.groupBy("repo", "file", "start").agg(
             F.min("id").alias("base"), F.max("id").alias("top"), F.collect_list(F.when(has_mark, marks)).alias("marks")
@@ -198,13 +198,16 @@ def _file_blocks(placed: DataFrame) -> DataFrame:
         .when(F.col("opens_file"), value)
         .otherwise(F.concat(F.lit("File: "), value))
     )
-    shape = r"(?d)File: (.*?)\r?\nContent:(?:\r?\n)?([\s\S]*)\z"
-    found = placed.where(F.col("ord") >= at).select("repo", "ord", block.alias("block")).where(F.col("block").rlike(shape))
-    return found.select(
-        "repo",
-        text.strip(F.regexp_extract("block", shape, 1)).alias("path"),
-        "ord",
-        text.strip(F.regexp_extract("block", shape, 2)).alias("content"),
+    # What follows the opening lines is the content; only these lines are looked at by regex.
+    opening = r"(?d)File: (.*?)\r?\nContent:(?:\r?\n)?"
+    parts = F.split("block", opening, 2)
+    found = (
+        placed.where(F.col("ord") >= at)
+        .select("repo", "ord", block.alias("block"))
+        .select("repo", "ord", F.regexp_extract("block", opening, 1).alias("path"), F.get(parts, F.lit(1)).alias("content"))
+    )
+    return found.where(F.col("content").isNotNull()).select(
+        "repo", text.strip(F.col("path")).alias("path"), "ord", text.strip(F.col("content")).alias("content")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.plans.report import ROW_ORDER
-from corpusmill.session import settle
+from corpusmill.session import stored
 
 
 def report_names(roots: DataFrame, output: str | None = None, level: str | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def write_reports(rows: DataFrame, location: str, names: DataFrame | None = None
     else:
         named = rows.join(names, "repo")
     # Range partitioning samples its input first: without this the whole job would run twice.
-    named = settle(named)
+    named = stored(named)
     order = ["report", *ROW_ORDER]
     (
         named.repartitionByRange(*order)

@@ -213,3 +213,37 @@ def test_report_files_over_many_splits(spark, tmp_path, level):
                 assert "\n".join(mine) == "\n".join(theirs), repo
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_report_files_are_cut_once(spark, tmp_path):
+    """Blocks are cut and stored before the jobs that read the files; rows of text are read again for the sections only."""
+    folder = tmp_path / "reports"
+    folder.mkdir()
+    (folder / "r.txt").write_text("README:\nr\n\nStructure:\nr/\n\nFile Contents:\n" + "".join(f"File: f{i}.txt\nContent:\nbody {i}\n\n" for i in range(3)))
+    for level in ("medium", "heavy"):
+        rows = reduction.reduce_report_files(spark, str(folder), settings.LEVELS[level])
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Content:(?:" not in plan
+        assert plan.count("_metadata") > 0 and rows.where("section = 4").count() == 3
+
+
+def test_blocks_of_a_scanned_report(spark, tmp_path):
+    """The first line that opens a file within a block counts, whatever stands before it; text without one is no file."""
+    white = "\t\x0b\x0c\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    blocks = [
+        "a.txt\nContent:\nx\n  y",
+        "no content here",
+        "mentioned\nFile: b.txt \nContent:\nFile: z\nContent:\nkept",
+        "c.txt\r\nContent:\r\n\r\nlines\r\nends",
+        "empty.txt\nContent:",
+        f"white.txt{white}\nContent:{white}in{white}side{white}",
+        "File: d.txt\nContent: same line",
+        "a.txt\nContent:\nlast",
+    ]
+    path = tmp_path / "r.txt"
+    path.write_text("README:\nStructure:\nFile Contents:" + "".join(f"\n\nFile: {b}" for b in blocks), newline="")
+    found = report_text.read_report_blocks(spark, str(path)).orderBy("ord").collect()
+    assert [(r.path, r.content) for r in found] == [
+        ("a.txt", "last"), ("b.txt", "File: z\nContent:\nkept"), ("c.txt", "lines\r\nends"), ("empty.txt", ""),
+        ("white.txt", f"in{white}side"), ("File: d.txt", "same line"),
+    ]
