@@ -216,7 +216,7 @@ def test_report_files_over_many_splits(spark, tmp_path, level):
 
 
 def test_report_files_are_cut_once(spark, tmp_path):
-    """Blocks are cut and stored before the jobs that read the files; rows of text are read again for the sections only."""
+    """Blocks and sections are cut and stored before the jobs that read them; the reports' text is not read again."""
     folder = tmp_path / "reports"
     folder.mkdir()
     (folder / "r.txt").write_text("README:\nr\n\nStructure:\nr/\n\nFile Contents:\n" + "".join(f"File: f{i}.txt\nContent:\nbody {i}\n\n" for i in range(3)))
@@ -224,7 +224,8 @@ def test_report_files_are_cut_once(spark, tmp_path):
         rows = reduction.reduce_report_files(spark, str(folder), settings.LEVELS[level])
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Content:(?:" not in plan
-        assert plan.count("_metadata") > 0 and rows.where("section = 4").count() == 3
+        assert "_metadata" not in plan and "] text" not in plan
+        assert rows.where("section = 4").count() == 3 and rows.where("section = 0").first().text == "README:\nr\n"
 
 
 def test_blocks_of_a_scanned_report(spark, tmp_path):
